@@ -8,18 +8,34 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .decontaminate import LEAKS_SQL, leaked_documents
 from .hosts import judge_pages
+from .html import extract
 from .mixing import MIX_SQL, mix_documents
+from .quality import select_documents
 from .shards import shard_documents
+from .topk import TOP_SQL, top_k
+from .toxicity import score_documents
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"))
 
@@ -32,5 +48,9 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(read_table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op5_decontaminate, op7_shard, op8_url_filter)}
-ORACLE_SQL = {"op1_mix_sources": MIX_SQL, "op5_decontaminate": LEAKS_SQL}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality, op4_toxicity, op5_decontaminate, op6_top_k, op7_shard, op8_url_filter, op10_main_text)}
+ORACLE_SQL = {"op1_mix_sources": MIX_SQL, "op5_decontaminate": LEAKS_SQL, "op6_top_k": TOP_SQL}
