@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Table rows, embedding size, n-gram lengths, words in a window.
-BUCKETS, DIM, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5), 24
+BUCKETS, DIM, GRAMS, WINDOW = 1 << 16, 8, (3, 4, 5), 3
 #: The most training rows of a label, and the most bytes of a training text.
 SAMPLE, LONGEST = 1500, 32_768
+#: Rows that fewer training texts touch keep the zero vector.
+LEAST_TEXTS = 6
 THRESHOLD = 0.7
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’…¡¿"
 
@@ -58,7 +60,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 12, seed: int = 5)
     bags = [subwords(w) for w in vocabulary]
     sizes = np.array([len(b) for b in bags])
     flat, first = np.concatenate([np.array(b, np.int32) for b in bags]), np.concatenate([[0], np.cumsum(sizes)])
-    table = rng.normal(0, 1 / DIM, (BUCKETS, DIM))
+    touched = np.zeros(BUCKETS, np.int64)
+    for d in docs:
+        touched[np.unique(np.concatenate([flat[first[w] : first[w + 1]] for w in np.unique(d)]))] += 1
+    live = (touched >= LEAST_TEXTS)[:, None]
+    table = rng.normal(0, 1 / DIM, (BUCKETS, DIM)) * live
     soft = np.zeros((DIM, 2))
     grown_t, grown_s = np.full((BUCKETS, 1), 1e-6), np.full((DIM, 2), 1e-6)
 
@@ -89,7 +95,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 12, seed: int = 5)
             grown_s += grad_s**2
             soft -= 0.5 * grad_s / np.sqrt(grown_s)
             grown_t[rows] += (grad_t**2).mean(1, keepdims=True)
-            table[rows] -= 0.3 * grad_t / np.sqrt(grown_t[rows])
+            table[rows] -= live[rows] * (0.3 * grad_t / np.sqrt(grown_t[rows]) + 1e-3 * table[rows])
     best = np.array([m.max() for m in means()])
     scale, offset = calibrate(best, labels)
     return table @ (soft[:, 1] - soft[:, 0]), scale, offset
