@@ -26,7 +26,7 @@ BUCKETS = HASHED + 2
 LEAST_RATIO = -5.0
 #: Allowed to each n-gram, as long texts repeat the drift of their language or
 #: topic between sample and whole, which n-grams taken as independent overstate.
-DRIFT = 0.04
+DRIFT = 0.1
 
 
 def gram_buckets(data: np.ndarray) -> np.ndarray:
