@@ -10,6 +10,7 @@ from .decontaminate import LEAKS_SQL, leaked_documents
 from .hosts import judge_pages
 from .html import extract
 from .mixing import MIX_SQL, mix_documents
+from .neardup import GROUPS_SQL, group_documents
 from .quality import select_documents
 from .shards import shard_documents
 from .topk import TOP_SQL, top_k
@@ -20,6 +21,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -52,5 +57,5 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality, op4_toxicity, op5_decontaminate, op6_top_k, op7_shard, op8_url_filter, op10_main_text)}
-ORACLE_SQL = {"op1_mix_sources": MIX_SQL, "op5_decontaminate": LEAKS_SQL, "op6_top_k": TOP_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_quality, op4_toxicity, op5_decontaminate, op6_top_k, op7_shard, op8_url_filter, op10_main_text)}
+ORACLE_SQL = {"op1_mix_sources": MIX_SQL, "op2_near_duplicates": GROUPS_SQL, "op5_decontaminate": LEAKS_SQL, "op6_top_k": TOP_SQL}
