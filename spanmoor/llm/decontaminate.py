@@ -9,6 +9,9 @@ substituted (checked over all choices in the tests).
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +21,9 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Items with fewer words say too little to identify a leak and are left out.
 LEAST_WORDS = 5
-#: Slots of the prefilter, one byte each: fixed, however many items there are.
-SLOTS = 1 << 20
+#: The most seeds that are broadcast at once, 16 bytes each; more items are
+#: looked up in as many passes.
+MOST_SEEDS = 2_000_000
 _SPAN = 9
 
 
@@ -28,11 +32,14 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _hashed(h: str, mask: tuple[int, ...]) -> Column:
+def _count(h: str, mask: tuple[int, ...]) -> Column:
+    return F.greatest(F.size(h) - F.lit(mask[-1]), F.lit(0))
+
+
+def _hashed(h: str, number: int, mask: tuple[int, ...]) -> Column:
     """Seed hashes at every position of the token hashes in column ``h``."""
-    last = F.size(h) - F.lit(mask[-1] + 1)
-    at = lambda i: F.xxhash64(F.lit(len(mask)), *[F.get(F.col(h), i + F.lit(o)) for o in mask])
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at))
+    at = lambda i: F.xxhash64(F.lit(number), *[F.get(F.col(h), i + F.lit(o)) for o in mask])
+    return F.when(_count(h, mask) > 0, F.transform(F.sequence(F.lit(0), _count(h, mask) - 1), at)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _around(h: str, i: Column) -> Column:
@@ -40,15 +47,6 @@ def _around(h: str, i: Column) -> Column:
     return F.transform(F.sequence(F.lit(1 - WINDOW), F.lit(WINDOW + _SPAN - 2)), lambda k: F.get(F.col(h), i + k))
 
 
-def _slots(x: Column) -> list[Column]:
-    low = F.lit(SLOTS - 1)
-    return [x.bitwiseAND(low).cast("int"), F.shiftrightunsigned(x, 24).bitwiseAND(low).cast("int")]
-
-
-def _masks(lengths: list[int]) -> list[tuple[int, ...]]:
-    return [*MASKS, *[tuple(range(n)) for n in lengths]]
-
-
 def leaks(docs: DataFrame, items: DataFrame, key: Column, text: Column) -> DataFrame:
     """(doc_key, item_id, matched): pairs of a document and an item of
     ``items`` (item_id, text) that share WINDOW aligned tokens, all but
@@ -57,36 +55,27 @@ def leaks(docs: DataFrame, items: DataFrame, key: Column, text: Column) -> DataF
 
     Words are lower-cased and split at ASCII white space. Null or empty texts
     and items match nothing; repeated rows give a pair once; keys may be null.
-    The items' seeds reach the scan as a bitmap of fixed size; what passes it
-    is joined with them by hash.
+    Documents are read in one pass for each MOST_SEEDS seeds of the items, of
+    which a pass broadcasts no more; only hits leave it.
     """
     tests = items.select("item_id", token_hashes(F.col("text")).alias("_h")).where(F.size("_h") >= LEAST_WORDS)
     tests = materialize(tests.groupBy("item_id", "_h").agg(F.size("_h").alias("_n")))
     lengths = sorted(r[0] for r in tests.where(F.col("_n") < _SPAN).select("_n").distinct().collect())
-    masks = _masks(lengths)
-    own = lambda m: (F.col("_n") == len(m)) if m not in MASKS else F.lit(True)
-
-    def hits(mask: tuple[int, ...], keep) -> Column:
-        found = F.array_compact(F.transform(_hashed("_h", mask), keep))
-        return F.transform(found, lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(len(mask)), *[F.get(F.col("_h"), i + F.lit(o)) for o in mask]).alias("seed"), _around("_h", i).alias("near")))
-
-    every = F.concat(*[F.coalesce(F.when(own(m), hits(m, lambda x, i: i)), F.array()) for m in masks])
-    seeds = materialize(tests.select("item_id", "_n", F.explode(every).alias("s")).select("item_id", "_n", "s.seed", F.col("s.near").alias("_theirs")))
-    taken = seeds.select(F.explode(F.array(*_slots(F.col("seed")))).alias("slot")).distinct()
-    bits = bytearray(SLOTS)
-    for r in taken.toLocalIterator():  # SLOTS numbers at most
-        bits[r[0]] = 1
-    bitmap, one = F.lit(bytes(bits)), F.lit(b"\x01")
-    told = lambda x: [F.substring(bitmap, s + 1, 1) == one for s in _slots(x)]
-
-    def keep(x: Column, i: Column) -> Column:
-        first, second = told(x)
-        return F.when(first & second, i)
-
-    rows = docs.select(key.alias("doc_key"), token_hashes(text).alias("_h")).where("size(_h) > 0")
-    rows = rows.select("doc_key", F.concat(*[F.coalesce(hits(m, keep), F.array()) for m in masks]).alias("_hits"))
-    rows = rows.select("doc_key", F.explode("_hits").alias("s")).select("doc_key", "s.seed", F.col("s.near").alias("_near"))
-    pairs = rows.join(seeds, "seed")
+    # An item shorter than a mask's span is one seed of its own length.
+    masks = list(enumerate([*MASKS, *[tuple(range(n)) for n in lengths]]))
+    seeds = [tests.where(F.lit(m < len(MASKS)) | (F.col("_n") == len(mask))).select("item_id", "_n", "_h", F.lit(m).alias("_mask"), F.posexplode(_hashed("_h", m, mask)).alias("_at", "seed")) for m, mask in masks]
+    seeds = reduce(DataFrame.unionAll, seeds).select("item_id", "_n", "_mask", "seed", _around("_h", F.col("_at")).alias("_theirs"))
+    seeds = materialize(seeds)
+    keys = materialize(seeds.select("seed", "_mask").distinct())
+    passes = max(1, math.ceil(keys.count() / MOST_SEEDS))
+    rows = docs.select(key.alias("doc_key"), token_hashes(text).alias("_h"))
+    # From a plain explode, Spark would infer a filter and hash everything twice.
+    rows = rows.select("doc_key", "_h", F.posexplode_outer(F.concat(*[_hashed("_h", m, mask) for m, mask in masks])).alias("_at", "seed"))
+    at = F.col("_at") - reduce(lambda x, y: x + y, [F.when(F.col("_mask") > m, _count("_h", mask)).otherwise(F.lit(0)) for m, mask in masks])
+    part = lambda b: keys if passes == 1 else keys.where(F.pmod("seed", F.lit(passes)) == b)
+    rows = reduce(DataFrame.unionAll, [rows.join(F.broadcast(part(b)), "seed") for b in range(passes)])
+    rows = rows.select("doc_key", "seed", "_mask", "_h", at.alias("_at")).select("doc_key", "seed", "_mask", _around("_h", F.col("_at")).alias("_near"))
+    pairs = rows.join(seeds, ["seed", "_mask"])
     equal = F.transform(F.arrays_zip("_near", "_theirs"), lambda z: F.coalesce((z["_near"] == z["_theirs"]).cast("int"), F.lit(0)))
     pairs = pairs.select("doc_key", "item_id", F.least("_n", F.lit(WINDOW)).alias("_need"), equal.alias("_equal")).distinct()
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(WINDOW + _SPAN - 1)), lambda i: F.aggregate(F.slice("_equal", i, WINDOW), F.lit(0), lambda a, b: a + b)))
