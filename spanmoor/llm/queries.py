@@ -13,6 +13,7 @@ from .mixing import MIX_SQL, mix_documents
 from .neardup import GROUPS_SQL, group_documents
 from .quality import select_documents
 from .shards import shard_documents
+from .suffix import strip_documents
 from .topk import TOP_SQL, top_k
 from .toxicity import score_documents
 
@@ -53,9 +54,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(read_table(spark, sf_dir, "pages"), labels)
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_quality, op4_toxicity, op5_decontaminate, op6_top_k, op7_shard, op8_url_filter, op10_main_text)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_quality, op4_toxicity, op5_decontaminate, op6_top_k, op7_shard, op8_url_filter, op9_repeated_passages, op10_main_text)}
 ORACLE_SQL = {"op1_mix_sources": MIX_SQL, "op2_near_duplicates": GROUPS_SQL, "op5_decontaminate": LEAKS_SQL, "op6_top_k": TOP_SQL}
