@@ -247,13 +247,13 @@ def group_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their group; of rows that repeat an
-    id with words, one."""
-    found = materialize(groups(docs, percent).where("kept"))
-    kept = materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")))
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = out.where("_rows = 1").select(*docs.columns)
-    again = out.where("_rows > 1").select(*docs.columns)
+    """The rows of ``docs`` that stand for their group. Rows that repeat an id
+    stay or go together, and of equal ones among them one stays. Joined are the
+    ids that go, as they are the fewer."""
+    found = groups(docs, percent).groupBy(F.col("doc_id").alias("_id")).agg(F.count_if("kept").alias("_kept"), F.count("*").alias("_rows"))
+    odd = materialize(found.where("_rows > 1 or _kept = 0").select("_id", "_kept"))
+    once = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    again = docs.join(odd.where("_kept > 0"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
