@@ -28,7 +28,7 @@ from .common import _BYTE, materialize, mix64, powers, slices, text_buffers
 
 LENGTH, K = 400, 100
 #: Bytes of text to a shard, and texts of one minimizer that a shard takes.
-SHARD_BYTES, SHARD_TEXTS = 3 << 20, 4096
+SHARD_BYTES, SHARD_TEXTS = 2 << 20, 4096
 _PLACE = np.uint64((1 << 24) - 1)
 
 
