@@ -55,7 +55,8 @@ def match(left: DataFrame, right: DataFrame, least: float = SIMILARITY) -> DataF
         out = pd.DataFrame(rows, columns=["source", "left_idx", "right_idx", "left_text", "right_text", "ratio", "left_class", "right_class", "left_status", "right_status", "left_start", "right_start"])
         return out.astype({"left_start": "Int32", "right_start": "Int32"})
 
-    keep = ["source", "idx", *_ENTRY]
+    # Aliased, so that two sides of one origin have columns of their own.
+    keep = [F.col(c).alias(c) for c in ("source", "idx", *_ENTRY)]
     schema = _PAIR.format(kind=left.schema["source"].dataType.simpleString())
     return left.select(*keep).groupBy("source").cogroup(right.select(*keep).groupBy("source")).applyInPandas(pair, schema)
 
@@ -75,14 +76,14 @@ def summary(pairs: DataFrame, totals: DataFrame) -> DataFrame:
     agreement in percent to one digit, offset differences, share matched."""
     percent = lambda c: F.round(100 * F.avg(c.cast("int")), 1)
     delta = F.abs(F.col("left_start") - F.col("right_start"))
-    found = pairs.groupBy(F.col("source").alias("_source")).agg(
+    found = pairs.groupBy("source").agg(
         F.count("*").alias("matched"),
         percent(F.col("left_class") == F.col("right_class")).alias("class_agreement"),
         percent(F.col("left_status") == F.col("right_status")).alias("status_agreement"),
         F.round(F.avg(delta), 1).alias("offset_mean"),
         F.max(delta).alias("offset_max"),
     )
-    rows = totals.join(found, F.col("source") == F.col("_source"), "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    rows = totals.join(found, "source", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
     most = F.greatest("left_total", "right_total", F.lit(1))
     return rows.select("source", "left_total", "right_total", "matched", (F.col("left_total") - F.col("matched")).alias("only_left"), (F.col("right_total") - F.col("matched")).alias("only_right"), "class_agreement", "status_agreement", "offset_mean", "offset_max", F.round(100 * F.col("matched") / most, 1).alias("match_rate"))
 
