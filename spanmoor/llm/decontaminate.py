@@ -94,7 +94,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     fingerprint, so that repeated and null ids are told apart."""
     print_ = F.md5(F.coalesce("text", F.lit("")))
     bad = materialize(leaks(docs, items, print_, F.col("text")).select(F.col("doc_key").alias("_leaked")).distinct())
-    return docs.join(bad, print_ == F.col("_leaked"), "left_anti")
+    return docs.join(bad, F.md5(F.coalesce(docs["text"], F.lit(""))) == bad["_leaked"], "left_anti")
 
 
 LEAKS_SQL = r"""

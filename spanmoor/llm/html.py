@@ -58,6 +58,16 @@ TABLE = np.array(
     12 0.0 1 1.0 9 0.0 0 1 1
     15 0.0 90 0.0 6 0.5 0 1 1
     250 0.0 7 0.0 12 0.0 0 1 1
+    3 1.0 2 1.0 4 1.0 0 1 1
+    1 1.0 40 0.0 1 1.0 0 1 1
+    2 1.0 3 1.0 60 0.0 0 1 1
+    12 0.9 8 0.8 9 1.0 0 1 1
+    30 0.8 6 1.0 50 0.0 0 1 1
+    45 0.7 30 0.0 25 0.6 0 1 1
+    5 0.0 2 1.0 3 1.0 0 1 1
+    4 0.0 5 1.0 2 0.5 0 1 1
+    7 0.0 60 0.0 2 1.0 0 1 1
+    3 0.5 12 1.0 5 0.7 0 1 1
     40 0.0 2 1.0 35 0.0 0 0 1
     90 0.0 12 0.0 80 0.1 0 0 1
     25 0.1 60 0.0 40 0.0 0 0 1

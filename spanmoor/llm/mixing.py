@@ -54,7 +54,7 @@ def mix(
     digits: int = 4,
 ) -> DataFrame:
     """``df`` with ``source_size``, ``target`` and ``taken`` (names that ``df``
-    must not have), where ``taken`` sums to floor(target) over each source.
+    must not have, nor any that starts with two underscores), where ``taken`` sums to floor(target) over each source.
 
     Whole rounds over a source come first; the rest of its budget goes to the
     rows first in key order, the last of them in part. Rows that agree in key,
@@ -62,30 +62,30 @@ def mix(
     the empty string, null sources as a source of their own; empty tables give
     empty tables. ``digits``: hex digits of the key that number its range.
     """
-    row = df.withColumns({"_source": source, "_size": size, "_key": F.md5(F.coalesce(key.cast("string"), F.lit("")))})
-    narrow = row.select(F.col("_source").alias("source"), "_size", "_key")
-    ranges = materialize(narrow.groupBy("source", F.substring("_key", 1, digits).alias("_range")).agg(F.sum("_size").alias("_words")))
+    row = df.withColumns({"__source": source, "__size": size, "__key": F.md5(F.coalesce(key.cast("string"), F.lit("")))})
+    narrow = row.select(F.col("__source").alias("source"), "__size", "__key")
+    ranges = materialize(narrow.groupBy("source", F.substring("__key", 1, digits).alias("_range")).agg(F.sum("__size").alias("_words")))
     sources = materialize(source_targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, most))
     budget = F.floor("target")
-    sources = sources.withColumn("_rounds", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    sources = sources.withColumn("_rest", budget - F.col("_rounds") * F.col("source_size"))
+    sources = sources.withColumn("__rounds", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    sources = sources.withColumn("_rest", budget - F.col("__rounds") * F.col("source_size"))
     along = Window.partitionBy("source").orderBy("_range")
     summed = ranges.withColumn("_upto", F.sum("_words").over(along)).withColumn("_before", F.col("_upto") - F.col("_words"))
     near = summed.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
     near = near.where("_rest > 0 and _before < _rest and _rest <= _upto").select("s.source", "_range", "_before", "_rest")
     # Only the rows of the ranges that hold a cut are sorted.
-    inside = narrow.alias("n").join(materialize(near).alias("c"), F.col("n.source").eqNullSafe(F.col("c.source")) & (F.substring("_key", 1, digits) == F.col("_range")))
-    ties = inside.groupBy("c.source", "_before", "_rest", "_key", "_size").agg(F.count("*").alias("_rows"))
-    order = Window.partitionBy("source").orderBy("_key", "_size")
-    ties = ties.withColumn("_upto", F.col("_before") + F.sum(F.col("_size") * F.col("_rows")).over(order))
-    cut = ties.where("_upto >= _rest and _upto - _size * _rows < _rest")
-    cut = cut.select("source", F.struct("_key", "_size").alias("_cut"), F.floor((F.col("_rest") - (F.col("_upto") - F.col("_size") * F.col("_rows"))) / F.col("_rows")).alias("_part"))
+    inside = narrow.alias("n").join(materialize(near).alias("c"), F.col("n.source").eqNullSafe(F.col("c.source")) & (F.substring("__key", 1, digits) == F.col("_range")))
+    ties = inside.groupBy("c.source", "_before", "_rest", "__key", "__size").agg(F.count("*").alias("_rows"))
+    order = Window.partitionBy("source").orderBy("__key", "__size")
+    ties = ties.withColumn("_upto", F.col("_before") + F.sum(F.col("__size") * F.col("_rows")).over(order))
+    cut = ties.where("_upto >= _rest and _upto - __size * _rows < _rest")
+    cut = cut.select("source", F.struct("__key", "__size").alias("__cut"), F.floor((F.col("_rest") - (F.col("_upto") - F.col("__size") * F.col("_rows"))) / F.col("_rows")).alias("__part"))
     plan = sources.alias("s").join(cut.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left")
-    plan = materialize(plan.select(F.col("s.source").alias("_of"), "source_size", "target", "_rounds", "_cut", "_part"))
-    at = F.struct("_key", "_size")
-    more = F.when(at < F.col("_cut"), F.col("_size")).when(at == F.col("_cut"), F.col("_part")).otherwise(F.lit(0))
-    out = row.join(plan, F.col("_source").eqNullSafe(F.col("_of")))
-    return out.withColumn("taken", (F.col("_rounds") * F.col("_size") + more).cast("long")).select(*[df[c] for c in df.columns], "source_size", "target", "taken")
+    plan = materialize(plan.select(F.col("s.source").alias("__of"), "source_size", "target", "__rounds", "__cut", "__part"))
+    at = F.struct("__key", "__size")
+    more = F.when(at < F.col("__cut"), F.col("__size")).when(at == F.col("__cut"), F.col("__part")).otherwise(F.lit(0))
+    out = row.join(plan, F.col("__source").eqNullSafe(F.col("__of")))
+    return out.withColumn("taken", (F.col("__rounds") * F.col("__size") + more).cast("long")).select(*[df[c] for c in df.columns], "source_size", "target", "taken")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -97,9 +97,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def draw_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes at least a word of, each once for every
     round it takes part in, whole; columns as in ``docs``."""
-    out = mix(docs.withColumn("_words", word_count(F.col("text"))), F.col("doc_id"), F.col("source"), F.col("_words"))
-    times = F.ceil(F.col("taken") / F.greatest(F.col("_words"), F.lit(1))).cast("int")
-    return out.select(*[out[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("_round")).drop("_round")
+    out = mix(docs.withColumn("__words", word_count(F.col("text"))), F.col("doc_id"), F.col("source"), F.col("__words"))
+    times = F.ceil(F.col("taken") / F.greatest(F.col("__words"), F.lit(1))).cast("int")
+    return out.select(*[out[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("__round")).drop("__round")
 
 
 MIX_SQL = r"""

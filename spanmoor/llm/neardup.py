@@ -252,8 +252,9 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids that go, as they are the fewer."""
     found = groups(docs, percent).groupBy(F.col("doc_id").alias("_id")).agg(F.count_if("kept").alias("_kept"), F.count("*").alias("_rows"))
     odd = materialize(found.where("_rows > 1 or _kept = 0").select("_id", "_kept"))
-    once = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = docs.join(odd.where("_kept > 0"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    some = odd.where("_kept > 0")
+    once = docs.join(odd, docs["doc_id"].eqNullSafe(odd["_id"]), "left_anti")
+    again = docs.join(some, docs["doc_id"].eqNullSafe(some["_id"]), "left_semi")
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 

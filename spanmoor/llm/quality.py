@@ -150,8 +150,8 @@ class Resampler:
         return F.lit(False) if self.least is None else draw >= F.lit(self.least) - 5e-7
 
     def keep(self, docs: DataFrame) -> DataFrame:
-        out = docs.withColumn("_ratio", self.score(F.col("text")))
-        return out.where(self.chosen(self.draw(F.col("_ratio"), F.col("doc_id")))).select(*docs.columns)
+        out = docs.withColumn("__ratio", self.score(F.col("text")))
+        return out.where(self.chosen(self.draw(F.col("__ratio"), F.col("doc_id")))).select(*docs.columns)
 
 
 def good_labels(labels: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, a: int, b: int, length: int,
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_bytes, gram, digest, at, size): the runs of each text.
+    """(row, key, n_bytes, gram, digest, at, size): the runs of each text.
     ``digest`` is of the run's text, which starts at ``at`` with ``size`` bytes."""
 
     def run(batches):
@@ -101,10 +101,9 @@ def anchored(docs: DataFrame) -> DataFrame:
                     view = memoryview(np.ascontiguousarray(piece))
                     digest = [xxhash.xxh3_64_intdigest(view[x : y + LENGTH]) for x, y in zip(first.tolist(), last.tolist())]
                     take = pa.array(a + of)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(gram.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array((first - cuts[of] + shift).astype(np.int64)), pa.array((last - first + LENGTH).astype(np.int32))], names=["doc_id", "key", "n_bytes", "gram", "digest", "at", "size"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(gram.view(np.int64)), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array((first - cuts[of] + shift).astype(np.int64)), pa.array((last - first + LENGTH).astype(np.int32))], names=["row", "key", "n_bytes", "gram", "digest", "at", "size"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "key", "n_bytes", "text").mapInArrow(run, f"doc_id {kind}, key long, n_bytes long, gram long, digest long, at long, size int")
+    return docs.select("row", "key", "n_bytes", "text").mapInArrow(run, "row long, key long, n_bytes long, gram long, digest long, at long, size int")
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +206,7 @@ def ranges_of(flags: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, digest, slice, text) of the runs wanted (doc_id, cuts)."""
+    """(gram, digest, slice, text) of the runs wanted (row, cuts)."""
 
     def run(batches):
         for batch in batches:
@@ -225,7 +224,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d), pa.array(s, pa.int32()), pa.array(t, pa.binary())], names=["gram", "digest", "slice", "text"])
                     rows, held = [], 0
 
-    rows = docs.select("doc_id", "text").join(wanted.withColumnRenamed("doc_id", "_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = docs.select("row", "text").join(wanted.hint("shuffle_hash"), "row")
     return rows.select("text", "cuts").mapInArrow(run, "gram long, digest long, slice int, text binary")
 
 
@@ -258,10 +257,10 @@ def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, n_bytes, spans) for each distinct text of ``docs`` (doc_id, key,
+    """(key, n_bytes, spans) for each distinct text of ``docs`` (row, key,
     n_bytes, text) that has any: sorted, disjoint, maximal byte ranges."""
     runs_ = materialize(anchored(docs.where(F.col("n_bytes") >= LENGTH)))
-    texts = runs_.groupBy("gram", "digest").agg(F.count("*").alias("_rows"), F.min("doc_id").alias("doc_id"), F.min_by("at", "doc_id").alias("at"), F.min("size").alias("size"))
+    texts = runs_.groupBy("gram", "digest").agg(F.count("*").alias("_rows"), F.min("row").alias("row"), F.min_by("at", "row").alias("at"), F.min("size").alias("size"))
     texts = materialize(texts)
     grams = texts.groupBy("gram").agg(F.count("*").alias("_texts"), F.sum("_rows").alias("_all")).where("_all > 1")
     grams = materialize(grams)
@@ -273,7 +272,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = open_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / SHARD_BYTES))
     cuts = F.collect_list(F.struct("gram", "digest", "slice", "at", "size")).alias("cuts")
-    found = _texts(docs, open_.groupBy("doc_id").agg(cuts))
+    found = _texts(docs, open_.groupBy("row").agg(cuts))
     shard = F.when(F.col("slice") < 0, F.pmod(F.xxhash64("gram"), F.lit(shards))).otherwise(F.pmod(F.xxhash64("gram", "slice"), F.lit(1 << 30)) + shards)
     schema = "gram long, digest long, first int, last int, prints array<long>"
     sorted_ = materialize(found.withColumn("_shard", shard).groupBy("_shard").applyInPandas(_sort_shard, schema))
@@ -315,6 +314,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "key"))  # where to find a run's text again; never null
     spans = materialize(repeated_spans(rows)).withColumnsRenamed({"key": "_key", "n_bytes": "_n"})
 
     def cut(batches):
