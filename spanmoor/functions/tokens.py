@@ -62,11 +62,30 @@ def tokenize(text: Column) -> Column:
     )
 
 
+def is_space(token: Column) -> Column:
+    """Whether the token's type is whitespace, by its first character."""
+    return F.left(token, F.lit(1)).isin(" ", "\t", "\n", "\r")
+
+
+def lowered(token: Column) -> Column:
+    """Lower case, a final sigma like any other."""
+    return F.when(token.contains("Σ"), F.translate(F.lower(token), "ς", "σ")).otherwise(F.lower(token))
+
+
+def match_places(parts: Column) -> Column:
+    """array<int>: places, from 0, of the tokens other than white space."""
+    return F.filter(F.transform(parts, lambda t, i: F.when(~is_space(t), i)), lambda i: i.isNotNull())
+
+
 def match_tokens(parts: Column) -> Column:
-    """Lower-cased tokens other than white space: what alignment compares. A
-    final sigma is lowered like any other."""
-    kept = F.filter(parts, lambda t: token_type(t) != "whitespace")
-    return F.transform(kept, lambda t: F.when(t.contains("Σ"), F.translate(F.lower(t), "ς", "σ")).otherwise(F.lower(t)))
+    """Lower-cased tokens other than white space: what alignment compares."""
+    return F.transform(F.filter(parts, lambda t: ~is_space(t)), lowered)
+
+
+def byte_at(parts: Column, place: Column) -> Column:
+    """Byte offset of the token at a place, from 0; null for a null place. One
+    join of what comes before, where a single offset is wanted."""
+    return F.when(place >= 0, F.octet_length(F.array_join(F.slice(parts, F.lit(1), F.greatest(place, F.lit(0))), "")))
 
 
 def char_to_byte(text: Column, position: Column) -> Column:

@@ -6,22 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import exact_at, fuzzy_by_counter, fuzzy_by_windows, overlap_bound
-from ..functions.tokens import match_tokens, token_starts, token_texts, token_type
+from ..functions.tokens import byte_at, match_places, match_tokens, token_texts
 
 FUZZY_THRESHOLD = 0.75
 
 
 def prepare(df: DataFrame, source: str = "text", to: str = "_source") -> DataFrame:
-    """Adds struct<tokens, starts, ends> of the source's match tokens, once for
-    all the strings that will be aligned to it."""
-    rows = df.withColumn("_parts", token_texts(F.col(source))).withColumn("_at", token_starts("_parts"))
-    kept = F.filter(F.arrays_zip("_parts", "_at"), lambda t: token_type(t["_parts"]) != "whitespace")
-    rows = rows.withColumn("_kept", kept)
-    made = F.struct(
-        match_tokens(F.col("_parts")).alias("tokens"),
-        F.transform("_kept", lambda t: t["_at"]).alias("starts"),
-        F.transform("_kept", lambda t: t["_at"] + F.octet_length(t["_parts"])).alias("ends"),
-    )
+    """Adds struct<parts, places, tokens> of the source: its tokens, the places
+    of its match tokens and these, once for all the strings to be aligned to it."""
+    rows = df.withColumn("_parts", token_texts(F.col(source)))
+    made = F.struct(F.col("_parts").alias("parts"), match_places(F.col("_parts")).alias("places"), match_tokens(F.col("_parts")).alias("tokens"))
     # An explode of one: what is above reads the arrays, instead of having them
     # made again for each use.
     return rows.withColumn("_made", made).select(*[df[c] for c in df.columns], F.explode(F.array("_made")).alias(to))
@@ -53,8 +47,8 @@ def align_prepared(df: DataFrame, wanted: str, threshold: float = FUZZY_THRESHOL
     rows = rows.withColumn("_place", F.coalesce("_exact", fuzzy))
     status = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_place").isNotNull(), "fuzzy").otherwise("not_found")
     place = F.struct(
-        F.get(F.col(f"{source}.starts"), F.col("_place")).alias("byte_start"),
-        F.get(F.col(f"{source}.ends"), F.col("_place") + n - 1).alias("byte_end"),
+        byte_at(F.col(f"{source}.parts"), F.get(F.col(f"{source}.places"), F.col("_place"))).alias("byte_start"),
+        byte_at(F.col(f"{source}.parts"), F.get(F.col(f"{source}.places"), F.col("_place") + n - 1) + 1).alias("byte_end"),
         status.alias("status"),
     )
     # The explode of one keeps filters on the result from being pushed into the

@@ -138,7 +138,8 @@ def _chunk_sql() -> str:
 
 def _recipes(docs: DataFrame) -> DataFrame:
     """doc_id, text, w, e3, f4, m2 of the documents with five match tokens."""
-    rows = docs.withColumn("w", match_tokens(token_texts(F.col("text")))).where("size(w) >= 5")
+    first = F.slice(match_tokens(token_texts(F.col("text"))), 1, 5)
+    rows = docs.select("doc_id", "text", F.explode(F.array(first)).alias("w")).where("size(w) = 5")
     at = lambda i: F.get("w", F.lit(i))
     return rows.select("doc_id", "text", F.concat_ws(" ", at(2), at(3), at(4)).alias("e3"), F.concat_ws(" ", at(2), at(4), at(3), F.lit(FOREIGN[0])).alias("f4"), F.lit(" ".join(FOREIGN)).alias("m2"))
 
