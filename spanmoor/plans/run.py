@@ -12,6 +12,7 @@ from ..operators.align import FUZZY_THRESHOLD, align, align_prepared, prepare
 from ..operators.infer import Client, infer
 from ..operators.prompt import Template, prompt
 from ..operators.text import MAX_CHUNK_CHARS, chunks
+from ..sources.staging import stage
 
 SPAN = ("ext_idx", "class", "ext_text", "attributes", "byte_start", "byte_end", "status")
 
@@ -40,7 +41,7 @@ def run(
     doc_id: str = "doc_id",
     max_chunk_chars: int | None = MAX_CHUNK_CHARS,
     threshold: float = FUZZY_THRESHOLD,
-    persist: Callable[[DataFrame], DataFrame] | None = None,
+    persist: Callable[[DataFrame], DataFrame] = stage,
 ) -> tuple[DataFrame, DataFrame]:
     """(spans, errors) of a run over documents (doc_id, source).
 
@@ -48,8 +49,9 @@ def run(
     output is parsed and aligned within its own chunk; offsets are then those of
     the document. The first error of a document in chunk order fails all of it:
     it has no spans and one row in ``errors`` (doc_id, chunk_idx, error_kind,
-    error_detail, raw). ``persist``: writes and rereads model output before it
-    is read twice, so that no retry asks again, as Parquet in a shared folder.
+    error_detail, raw). ``persist`` writes and rereads model output, which is
+    read twice, so that neither that nor a later retry asks the model again; the
+    calls are thus made when ``run`` is called.
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("text"))
     if max_chunk_chars is None:
@@ -58,7 +60,7 @@ def run(
         rows = chunks(rows, "text", max_chunk_chars)
     rows = rows.withColumn("prompt", prompt(template, F.col("chunk_text"), F.col("previous_chunk")))
     told = infer(rows, client).drop("prompt", "previous_chunk")
-    told = persist(told) if persist else told
+    told = persist(told)
     spans = extract(told.where("infer_error is null"), "chunk_text", "raw", threshold, strategy="windows" if max_chunk_chars else "counter")
     broken = spans.where("error_kind is not null").select("doc_id", "chunk_idx", "error_kind", F.col("error_detail").alias("raw"))
     detail = F.when(F.lit(max_chunk_chars is None), F.col("raw"))  # a chunked run keeps the bare kind

@@ -114,6 +114,18 @@ def test_chunked_run(spark):
     assert chunk_errors(errors).first().raw == "no output"
 
 
+def test_the_model_is_asked_once(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def rule(prompt):
+        with log.open("a") as f:
+            f.write("x")
+        return '{"extractions":[{"word":"One"}]}'
+
+    spans, errors = run(spark.createDataFrame([(1, "One. Two."), (2, "One.")], "doc_id int, text string"), client(rule), P.Template(""), max_chunk_chars=4)
+    assert (spans.count(), spans.count(), errors.count()) == (3, 3, 0) and log.read_text() == "xxx"
+
+
 def test_provider_errors_fail_the_document(spark):
     def crash(prompt):
         raise RuntimeError("down")
