@@ -93,6 +93,11 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+#: Bytes of text that numpy works on at once: few enough to stay in a core's
+#: cache, and a worker's memory far below its texts'.
+SLICE = 1 << 18
+
+
 def slices(offsets: np.ndarray, most: int):
     """Ranges of whole texts with about ``most`` bytes each; a longer text is alone."""
     at, n = 0, len(offsets) - 1

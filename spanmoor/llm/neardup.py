@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, shingle_hashes, slices, text_buffers, word_hashes
+from .common import SLICE, materialize, mix64, shingle_hashes, slices, text_buffers, word_hashes
 from .minhash import band_keys, distinct_elements, signatures
 
 WORDS, PERCENT = 5, 85
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for a, b in slices(offsets, 1 << 19):
+            for a, b in slices(offsets, SLICE):
                 s, of = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.bincount(of, minlength=b - a)
                 keys = band_keys(signatures(s, of, b - a))
@@ -72,7 +72,7 @@ def full_sets(rows: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             wanted = batch.column(1).to_numpy()
-            for a, b in slices(offsets, 1 << 19):
+            for a, b in slices(offsets, SLICE):
                 s, of = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 found = class_ids(s, of, b - a)
                 right = np.flatnonzero(found == wanted[a:b])
@@ -214,10 +214,9 @@ def groups(docs: DataFrame, percent: int = PERCENT, largest: int = LARGEST) -> D
     rows = materialize(fingerprints(docs))
     some = rows.where("n > 0")
     banded = some.select("cls", F.explode("keys").alias("key"))
-    buckets = materialize(banded.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("_last")).where("hub < _last").select("key", "hub"))
-    members = banded.join(buckets, "key").select("key", "hub", "cls").distinct()
-    members = materialize(members)
-    pairs = materialize(members.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct())
+    buckets = banded.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("_last")).where("hub < _last").select("key", "hub")
+    members = materialize(banded.join(buckets, "key").select("key", "hub", "cls").distinct())
+    pairs = members.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     wanted = members.select("cls").distinct()
     texts = some.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("_id"), F.first("n").alias("_n")).select("_id", "cls")
     fetched = docs.select("doc_id", "text").join(texts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
@@ -227,16 +226,16 @@ def groups(docs: DataFrame, percent: int = PERCENT, largest: int = LARGEST) -> D
     # What the hubs have not settled.
     labelled = members.join(labels, F.col("cls") == F.col("node"), "left").select("key", "hub", "cls", F.coalesce("label", "cls").alias("label"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_rows")).where("_low < _high and _rows > 2").select("key", "_rows")
-    rest = labelled.join(materialize(open_), "key").join(sets.select("cls", "keys", "bits", F.size("elements").alias("n")), "cls")
+    rest = labelled.join(open_, "key").join(sets.select("cls", "keys", "bits", F.size("elements").alias("n")), "cls")
     parts = F.when(F.col("_rows") > largest, F.filter("keys", lambda k: k != F.col("key"))).otherwise(F.array(F.lit(None).cast("long")))
     rest = rest.select(F.col("key").alias("bucket"), "cls", "label", "hub", "keys", "bits", "n", F.explode(parts).alias("part"))
     more = rest.groupBy("bucket", "part").applyInPandas(lambda pdf: possible_links(pdf, percent), "a long, b long")
-    more = verified(materialize(more), sets, percent)
-    labels = components(materialize(links.unionAll(more)))
+    more = verified(more, sets, percent)
+    labels = components(links.unionAll(more))
     lows = some.groupBy("cls").agg(F.min("doc_id").alias("_low")).join(labels, F.col("cls") == F.col("node"), "left").select("cls", "_low", F.coalesce("label", "cls").alias("_root"))
     lows = materialize(lows)
     least = lows.groupBy("_root").agg(F.min("_low").alias("_id"))
-    named = materialize(lows.join(least, "_root").select(F.col("cls").alias("_cls"), F.col("_id")))
+    named = lows.join(least, "_root").select(F.col("cls").alias("_cls"), F.col("_id"))
     out = rows.join(named, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "cls")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, text_buffers, word_hashes
+from .common import SLICE, materialize, slices, text_buffers, word_hashes
 
 #: Hash buckets, the n-gram's bytes, pseudo-counts a bucket gets, and the
 #: greatest number of labelled rows that the target model is fitted on.
@@ -62,7 +62,7 @@ def count_grams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             good = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in slices(offsets, 1 << 20):
+            for a, b in slices(offsets, SLICE):
                 at, of = all_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 counts[0] += np.bincount(at, minlength=BUCKETS)
                 if good[a:b].any():
@@ -97,7 +97,7 @@ def log_ratio(table: np.ndarray):
     def score(text: pa.Array) -> pa.Array:
         data, offsets = text_buffers(text)
         out = np.zeros(len(text))
-        for a, b in slices(offsets, 1 << 20):
+        for a, b in slices(offsets, SLICE):
             at, of = all_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             out[a:b] = np.bincount(of, table[at], minlength=b - a).round(6)
         return pa.array(out)

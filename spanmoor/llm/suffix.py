@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, materialize, mix64, powers, slices, text_buffers
+from .common import _BYTE, SLICE, materialize, mix64, powers, slices, text_buffers
 
 LENGTH, K = 400, 100
 #: Bytes of text to a shard, and texts of one minimizer that a shard takes.
@@ -93,7 +93,7 @@ def anchored(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(3))
-            for a, b in slices(offsets, 1 << 20):
+            for a, b in slices(offsets, SLICE):
                 for piece, cuts, shift in _pieces(data, offsets, a, b, LENGTH, 1 << 23):
                     of, first, last, gram = runs(piece, cuts)
                     if not len(of):
@@ -263,7 +263,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = runs_.groupBy("gram", "digest").agg(F.count("*").alias("_rows"), F.min("row").alias("row"), F.min_by("at", "row").alias("at"), F.min("size").alias("size"))
     texts = materialize(texts)
     grams = texts.groupBy("gram").agg(F.count("*").alias("_texts"), F.sum("_rows").alias("_all")).where("_all > 1")
-    grams = materialize(grams)
     # Distinct texts of one minimizer have to be sorted; what is only copied need not be.
     open_ = texts.join(grams.where("_texts > 1"), "gram")
     split = F.ceil(F.col("_texts") / SHARD_TEXTS).cast("int")
@@ -282,7 +281,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     merged = strings.groupBy("gram", "_range").applyInPandas(_merge, "gram long, digest long, first int")
     ranges = ranges.unionAll(merged.select("gram", "digest", "first", F.col("first").alias("last")))
     copied = texts.where("_rows > 1").select("gram", "digest", F.lit(0).alias("first"), (F.col("size") - LENGTH).alias("last"))
-    ranges = materialize(ranges.join(texts.where("_rows > 1").select("gram", "digest"), ["gram", "digest"], "left_anti").unionAll(copied))
+    ranges = ranges.join(texts.where("_rows > 1").select("gram", "digest"), ["gram", "digest"], "left_anti").unionAll(copied)
     spans = runs_.select("key", "n_bytes", "gram", "digest", "at").join(ranges, ["gram", "digest"])
     spans = spans.select("key", "n_bytes", (F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last") + LENGTH).alias("b")).distinct()
     return spans.groupBy("key", "n_bytes").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
@@ -315,7 +314,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "key"))  # where to find a run's text again; never null
-    spans = materialize(repeated_spans(rows)).withColumnsRenamed({"key": "_key", "n_bytes": "_n"})
+    spans = repeated_spans(rows).withColumnsRenamed({"key": "_key", "n_bytes": "_n"})
 
     def cut(batches):
         for batch in batches:
