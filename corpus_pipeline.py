@@ -16,6 +16,9 @@ from spanmoor.llm.neardup import keep_one
 from spanmoor.llm.quality import keep_documents
 from spanmoor.llm.shards import shard_documents
 
+#: Texts of this similarity in per cent are near copies here; op2 has its own.
+NEAR = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling towards the texts labelled as good."""
@@ -24,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return keep_one(docs)
+    return keep_one(docs, NEAR)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ component are then searched across components: every pair is held against an
 upper bound of its similarity taken from bit maps of the sets, which never
 rejects a true link, and what passes is compared on full sets. So no bucket
 emits all its pairs, and no link between different texts in a shared bucket is
-lost. Two linked classes share no bucket with probability below 1e-7.
+lost. Two linked classes share no bucket with probability below 1e-7: the lower
+the percentage, the more bands.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLICE, materialize, mix64, shingle_hashes, slices, text_buffers, word_hashes
-from .minhash import band_keys, distinct_elements, signatures
+from .minhash import PERCENT, ROWS, band_keys, bands_for, distinct_elements, signatures
 
-WORDS, PERCENT = 5, 85
+WORDS = 5
 #: Residual buckets above this many classes are split by a second band.
 LARGEST = 4096
 
@@ -42,7 +43,7 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, bands: int) -> DataFrame:
     """(doc_id, n, cls, keys): size of the text's set, its class, its bands."""
 
     def run(batches):
@@ -51,7 +52,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for a, b in slices(offsets, SLICE):
                 s, of = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.bincount(of, minlength=b - a)
-                keys = band_keys(signatures(s, of, b - a))
+                keys = band_keys(signatures(s, of, b - a, bands * ROWS), bands)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(class_ids(s, of, b - a)), _lists(keys.ravel(), np.full(b - a, keys.shape[1]))], names=["doc_id", "n", "cls", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -65,7 +66,7 @@ def bit_map(elements: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def full_sets(rows: DataFrame) -> DataFrame:
+def full_sets(rows: DataFrame, bands: int) -> DataFrame:
     """(text, wanted) -> (cls, elements, bits, keys), where a text is of the class wanted."""
 
     def run(batches):
@@ -82,7 +83,7 @@ def full_sets(rows: DataFrame) -> DataFrame:
                 if not len(parts):
                     continue
                 s = np.concatenate(parts)
-                keys = band_keys(signatures(s, np.repeat(np.arange(len(right)), n), len(right)))
+                keys = band_keys(signatures(s, np.repeat(np.arange(len(right)), n), len(right), bands * ROWS), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(found[right]), _lists(s, n), pa.array([bit_map(p) for p in parts], pa.binary()), _lists(keys.ravel(), np.full(len(right), keys.shape[1]))], names=["cls", "elements", "bits", "keys"])
 
     return rows.mapInArrow(run, "cls long, elements array<long>, bits binary, keys array<long>")
@@ -211,7 +212,8 @@ def groups(docs: DataFrame, percent: int = PERCENT, largest: int = LARGEST) -> D
     own component. Rows that repeat an id and a text share a component, and
     each says the same; a null id is a component's only if no other is in it.
     """
-    rows = materialize(fingerprints(docs))
+    bands = bands_for(percent)
+    rows = materialize(fingerprints(docs, bands))
     some = rows.where("n > 0")
     banded = some.select("cls", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("_last")).where("hub < _last").select("key", "hub")
@@ -220,7 +222,7 @@ def groups(docs: DataFrame, percent: int = PERCENT, largest: int = LARGEST) -> D
     wanted = members.select("cls").distinct()
     texts = some.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("_id"), F.first("n").alias("_n")).select("_id", "cls")
     fetched = docs.select("doc_id", "text").join(texts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = materialize(full_sets(fetched.select("text", "cls")))
+    sets = materialize(full_sets(fetched.select("text", "cls"), bands))
     links = materialize(verified(pairs, sets, percent))
     labels = components(links)
     # What the hubs have not settled.
