@@ -5,7 +5,8 @@ candidates. In each bucket all classes are first compared with one hub, the
 least id, on full sets. Buckets whose classes those links leave in more than one
 component are then searched across components: every pair is held against an
 upper bound of its similarity taken from bit maps of the sets, which never
-rejects a true link, and what passes is compared on full sets. So no bucket
+rejects a true link, and what passes is compared on full sets. Large buckets
+are cut into blocks for that, and all pairs of blocks are searched. So no bucket
 emits all its pairs, and no link between different texts in a shared bucket is
 lost. Two linked classes share no bucket with probability below 1e-7: the lower
 the percentage, the more bands.
@@ -13,6 +14,8 @@ the percentage, the more bands.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,8 +26,9 @@ from .common import SLICE, materialize, mix64, shingle_hashes, slices, text_buff
 from .minhash import PERCENT, ROWS, band_keys, bands_for, distinct_elements, signatures
 
 WORDS = 5
-#: Residual buckets above this many classes are split by a second band.
-LARGEST = 4096
+#: Residual buckets above this many classes are cut into blocks of about as many,
+#: or of this many bytes of bit maps, and compared block against block.
+LARGEST, BLOCK_BYTES = 4096, 1 << 25
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +101,12 @@ def _fold(maps: np.ndarray) -> np.ndarray:
 def possible_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs of one bucket's rows (bucket, part, cls, label, hub, keys, bits, n)
     of different labels, neither of them the hub, whose similarity may reach
-    the percentage, and which no earlier band shares."""
+    the percentage, and which no earlier band shares. Where ``part`` is 0 or 1,
+    only pairs of a 0 and a 1."""
     pdf = pdf[pdf["cls"] != pdf["hub"]].drop_duplicates("cls").sort_values(["n", "cls"], ignore_index=True)
     n, cls, label = (pdf[c].to_numpy(np.int64) for c in ("n", "cls", "label"))
-    bucket, part = int(pdf["bucket"].iloc[0]) if len(pdf) else 0, pdf["part"].iloc[0] if len(pdf) else None
+    bucket = int(pdf["bucket"].iloc[0]) if len(pdf) else 0
+    part = None if pdf["part"].isna().any() else pdf["part"].to_numpy(np.int64)
     keys = np.stack(pdf["keys"].to_numpy()) if len(pdf) else np.zeros((0, 1), np.int64)
     width = pdf["bits"].map(len).to_numpy()
     maps = {w: np.frombuffer(b"".join(pdf["bits"][width == w]), np.uint64).reshape(-1, w // 8) for w in set(width.tolist())}
@@ -109,10 +115,10 @@ def possible_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     out: list[tuple[np.ndarray, np.ndarray]] = []
     sizes, counts = np.unique(label, return_counts=True)
     main = sizes[counts.argmax()] if len(sizes) else None
-    for i in np.flatnonzero(label != main):
+    for i in np.flatnonzero(label != main if part is None else part == 0):
         # Pairs outside the main label come once; those with it from this side.
         fit = (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (label != label[i])
-        fit &= (label == main) | (np.arange(len(n)) > i)
+        fit &= (label == main) | (np.arange(len(n)) > i) if part is None else part == 1
         some = np.flatnonzero(fit)
         for w in sorted(set(width[some].tolist())):
             js = some[width[some] == w]
@@ -129,14 +135,8 @@ def possible_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
             most = np.minimum(n[i] - only_mine, n[js] - only_theirs)  # of shared elements
             js = js[100 * most >= percent * (n[i] + n[js] - most)]
             if len(js):
-                shared = keys[js] == keys[i]
-                first = shared.argmax(1)
-                here = keys[i][first] == bucket
-                if part is not None and not pd.isna(part):
-                    shared[np.arange(len(js)), first] = False
-                    second = shared.argmax(1)
-                    here &= shared.any(1) & (keys[i][second] == int(part))
-                js = js[here]
+                first = (keys[js] == keys[i]).argmax(1)
+                js = js[keys[i][first] == bucket]
                 out.append((np.full(len(js), cls[i]), cls[js]))
     if not out:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
@@ -144,6 +144,30 @@ def possible_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
+def blocks(rows: DataFrame, percent: int, largest: int = LARGEST) -> DataFrame:
+    """Rows (key, hub, cls, label, n, width) of large buckets, with (part, x, y):
+    the pairs of blocks x, y in which a row is to be compared, and its side.
+
+    A bucket's rows are cut by side (of its most frequent label or not), by size
+    into steps of which only neighbours can hold links, and by class hash. Every
+    block outside the main label meets itself, each other one once and all of the
+    main label, as far as sizes allow; blocks of the main label never meet."""
+    step = max(math.log(100 / percent), 1e-9) * (1 + 1e-9)
+    main = rows.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("_main"))
+    rows = rows.join(F.broadcast(main), "key").withColumns({"_side": (F.col("label") == F.col("_main")).cast("long"), "_step": F.floor(F.log("n") / step)})
+    most = F.greatest(F.count("*") / largest, F.sum("width") / BLOCK_BYTES)
+    cuts = rows.groupBy("key", "_side", "_step").agg(F.ceil(most).alias("_cuts"))
+    name = F.shiftleft(F.col("_step"), 32) + 2 * F.col("_cut") + F.col("_side")
+    named = cuts.withColumn("_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cuts") - 1))).select("key", "_side", "_step", name.alias("_block"))
+    left = named.where("_side = 0").select("key", F.col("_block").alias("x"), F.col("_step").alias("_at"))
+    tasks = left.join(named.withColumnRenamed("_block", "y"), "key").where("abs(_step - _at) <= 1 and (_side = 1 or x <= y)").select("key", "x", "y")
+    tasks = materialize(tasks)
+    seats = tasks.select("key", F.col("x").alias("_block"), F.when(F.col("x") != F.col("y"), 0).alias("part"), "x", "y")
+    seats = seats.unionAll(tasks.where("x <> y").select("key", F.col("y").alias("_block"), F.lit(1).alias("part"), "x", "y"))
+    rows = rows.join(cuts, ["key", "_side", "_step"]).withColumn("_cut", F.pmod(F.xxhash64("cls"), F.col("_cuts"))).withColumn("_block", name)
+    return rows.join(seats, ["key", "_block"]).select("key", "hub", "cls", "label", "part", "x", "y")
+
+
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) of every node of the links, the root being the least node."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -228,10 +252,15 @@ def groups(docs: DataFrame, percent: int = PERCENT, largest: int = LARGEST) -> D
     # What the hubs have not settled.
     labelled = members.join(labels, F.col("cls") == F.col("node"), "left").select("key", "hub", "cls", F.coalesce("label", "cls").alias("label"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count("*").alias("_rows")).where("_low < _high and _rows > 2").select("key", "_rows")
-    rest = labelled.join(open_, "key").join(sets.select("cls", "keys", "bits", F.size("elements").alias("n")), "cls")
-    parts = F.when(F.col("_rows") > largest, F.filter("keys", lambda k: k != F.col("key"))).otherwise(F.array(F.lit(None).cast("long")))
-    rest = rest.select(F.col("key").alias("bucket"), "cls", "label", "hub", "keys", "bits", "n", F.explode(parts).alias("part"))
-    more = rest.groupBy("bucket", "part").applyInPandas(lambda pdf: possible_links(pdf, percent), "a long, b long")
+    open_ = materialize(open_)
+    none = lambda kind, c: F.lit(None).cast(kind).alias(c)
+    rest = labelled.join(open_.where(F.col("_rows") <= largest), "key").select("key", "hub", "cls", "label", none("int", "part"), none("long", "x"), none("long", "y"))
+    large = open_.where(F.col("_rows") > largest)
+    if not large.isEmpty():
+        wide = labelled.join(large, "key").join(sets.select("cls", F.size("elements").alias("n"), F.length("bits").alias("width")), "cls")
+        rest = rest.unionByName(blocks(materialize(wide.drop("_rows", "node")), percent, largest))
+    rest = rest.join(sets.select("cls", "keys", "bits", F.size("elements").alias("n")), "cls").withColumnRenamed("key", "bucket")
+    more = rest.groupBy("bucket", "x", "y").applyInPandas(lambda pdf: possible_links(pdf, percent), "a long, b long")
     more = verified(more, sets, percent)
     labels = components(links.unionAll(more))
     lows = some.groupBy("cls").agg(F.min("doc_id").alias("_low")).join(labels, F.col("cls") == F.col("node"), "left").select("cls", "_low", F.coalesce("label", "cls").alias("_root"))

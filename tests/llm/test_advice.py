@@ -1,6 +1,8 @@
 """What a review found missing: each test failed before its change."""
 
 import math
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from test_documents import brute_groups, docs_of, near_copies, words
@@ -32,3 +34,36 @@ def test_bands_miss_as_rarely():
     assert minhash.bands_for(85) == minhash.BANDS == 28 and minhash.bands_for(80) == 42
     assert all(miss(p) <= miss(85) * (1 + 1e-9) for p in (60, 70, 80, 84, 90)) and math.isclose(miss(85), 7.4e-8, rel_tol=0.01)
     assert neardup.PERCENT == 85
+
+
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    """Texts of low similarity mostly share one band alone."""
+    monkeypatch.setattr(neardup, "bands_for", lambda percent: minhash.BANDS)
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(f"x{rng.random()}" if rng.random() < 0.07 else w for w in base), "en", "s", 0) for i in range(120)]
+    told, found = ({(r.doc_id, r.component_id) for r in neardup.groups(docs_of(spark, rows), 50, n).collect()} for n in (4096, 3))
+    assert told == found and 1 < len({c for _, c in told}) < 120
+
+
+def test_blocks_hold_each_pair_once(spark):
+    rng = random.Random(33)
+    rows = [(k, 0, i, 7 if rng.random() < 0.6 else rng.randint(0, 30), rng.choice([10, 11, 13, 20, 100, 125, 126, 156]), 8) for k in (1, 2) for i in range(200)]
+    held = defaultdict(list)
+    for r in neardup.blocks(spark.createDataFrame(rows, "key long, hub long, cls long, label long, n long, width int"), 80, 20).collect():
+        held[r.key, r.x, r.y].append((r.cls, r.part))
+    assert max(map(len, held.values())) <= 80 and len(held) > 20
+    seen = Counter()
+    for (key, x, y), own in held.items():
+        assert {p for _, p in own} <= ({None} if x == y else {0, 1})
+        seen.update((key, *sorted((a, b))) for i, (a, p) in enumerate(own) for b, q in own[:i] if p is None or p != q)
+    assert set(seen.values()) == {1}
+    for k in (1, 2):
+        own = [r for r in rows if r[0] == k]
+        main = Counter(r[3] for r in own).most_common(1)[0][0]
+        for i, a in enumerate(own):
+            for b in own[:i]:
+                if a[3] != b[3] and 100 * min(a[4], b[4]) >= 80 * max(a[4], b[4]):
+                    assert seen[k, b[2], a[2]] == 1
+                elif a[3] == b[3] == main:
+                    assert not seen[k, b[2], a[2]]
