@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a part of a benchmark item."""
-    return drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    """Without the documents that hold a part of a benchmark item, or a short one."""
+    return drop_leaks(docs, read_table(spark, sf_dir, "benchmark"), short=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,9 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Items with fewer words say too little to identify a leak and are left out.
 LEAST_WORDS = 5
+#: Where short items count too: a mask for items of fewer words than the window,
+#: but no fewer than its span. With MASKS it leaves a hit if one is substituted.
+SHORT_MASK = (0, 2, 3, 4, 5, 6, 8)
 #: The most seeds that are broadcast at once, 16 bytes each; more items are
 #: looked up in as many passes.
 MOST_SEEDS = 2_000_000
@@ -47,23 +50,29 @@ def _around(h: str, i: Column) -> Column:
     return F.transform(F.sequence(F.lit(1 - WINDOW), F.lit(WINDOW + _SPAN - 2)), lambda k: F.get(F.col(h), i + k))
 
 
-def leaks(docs: DataFrame, items: DataFrame, key: Column, text: Column) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, key: Column, text: Column, short: bool = False) -> DataFrame:
     """(doc_key, item_id, matched): pairs of a document and an item of
     ``items`` (item_id, text) that share WINDOW aligned tokens, all but
     SUBSTITUTIONS of them equal; ``matched`` is the most equal tokens in such a
-    window. An item shorter than the window must occur whole.
+    window. An item shorter than the window must occur whole, and one of fewer
+    than LEAST_WORDS is left out. With ``short``, none is left out, and one of
+    at least 9 words may have one substituted.
 
     Words are lower-cased and split at ASCII white space. Null or empty texts
     and items match nothing; repeated rows give a pair once; keys may be null.
     Documents are read in one pass for each MOST_SEEDS seeds of the items, of
     which a pass broadcasts no more; only hits leave it.
     """
-    tests = items.select("item_id", token_hashes(F.col("text")).alias("_h")).where(F.size("_h") >= LEAST_WORDS)
+    tests = items.select("item_id", token_hashes(F.col("text")).alias("_h")).where(F.size("_h") >= (1 if short else LEAST_WORDS))
     tests = materialize(tests.groupBy("item_id", "_h").agg(F.size("_h").alias("_n")))
-    lengths = sorted(r[0] for r in tests.where(F.col("_n") < _SPAN).select("_n").distinct().collect())
+    lengths = sorted(r[0] for r in tests.where(F.col("_n") < WINDOW).select("_n").distinct().collect())
     # An item shorter than a mask's span is one seed of its own length.
-    masks = list(enumerate([*MASKS, *[tuple(range(n)) for n in lengths]]))
-    seeds = [tests.where(F.lit(m < len(MASKS)) | (F.col("_n") == len(mask))).select("item_id", "_n", "_h", F.lit(m).alias("_mask"), F.posexplode(_hashed("_h", m, mask)).alias("_at", "seed")) for m, mask in masks]
+    masks = [(mask, F.lit(True)) for mask in MASKS] + [(tuple(range(n)), F.col("_n") == n) for n in lengths if n < _SPAN]
+    if short and lengths and lengths[-1] >= _SPAN:
+        masks.append((SHORT_MASK, F.col("_n").between(_SPAN, WINDOW - 1)))
+    fits = [fit for _, fit in masks]
+    masks = list(enumerate(mask for mask, _ in masks))
+    seeds = [tests.where(fits[m]).select("item_id", "_n", "_h", F.lit(m).alias("_mask"), F.posexplode(_hashed("_h", m, mask)).alias("_at", "seed")) for m, mask in masks]
     seeds = reduce(DataFrame.unionAll, seeds).select("item_id", "_n", "_mask", "seed", _around("_h", F.col("_at")).alias("_theirs"))
     seeds = materialize(seeds)
     keys = materialize(seeds.select("seed", "_mask").distinct())
@@ -80,7 +89,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: Column, text: Column) -> DataF
     pairs = pairs.select("doc_key", "item_id", F.least("_n", F.lit(WINDOW)).alias("_need"), equal.alias("_equal")).distinct()
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(WINDOW + _SPAN - 1)), lambda i: F.aggregate(F.slice("_equal", i, WINDOW), F.lit(0), lambda a, b: a + b)))
     pairs = pairs.withColumn("matched", best)
-    allowed = F.when(F.col("_need") < WINDOW, F.lit(0)).otherwise(F.lit(SUBSTITUTIONS))
+    allowed = F.when(F.col("_need") == WINDOW, F.lit(SUBSTITUTIONS)).when(F.lit(short) & (F.col("_need") >= _SPAN), F.lit(1)).otherwise(F.lit(0))
     return pairs.where(F.col("matched") >= F.col("_need") - allowed).groupBy("doc_key", "item_id").agg(F.max("matched").alias("matched"))
 
 
@@ -89,11 +98,11 @@ def leaked_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     return leaks(docs, items, F.col("doc_id"), F.col("text")).withColumnRenamed("doc_key", "doc_id")
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` without the documents that hold a part of an item, found by text
     fingerprint, so that repeated and null ids are told apart."""
     print_ = F.md5(F.coalesce("text", F.lit("")))
-    bad = materialize(leaks(docs, items, print_, F.col("text")).select(F.col("doc_key").alias("_leaked")).distinct())
+    bad = materialize(leaks(docs, items, print_, F.col("text"), short).select(F.col("doc_key").alias("_leaked")).distinct())
     return docs.join(bad, F.md5(F.coalesce(docs["text"], F.lit(""))) == bad["_leaked"], "left_anti")
 
 

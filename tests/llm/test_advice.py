@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from test_documents import brute_groups, docs_of, near_copies, words
 
-from spanmoor.llm import minhash, neardup
+from spanmoor.llm import decontaminate, minhash, neardup
 
 
 def brute_components(rows, percent):
@@ -67,3 +67,22 @@ def test_blocks_hold_each_pair_once(spark):
                     assert seen[k, b[2], a[2]] == 1
                 elif a[3] == b[3] == main:
                     assert not seen[k, b[2], a[2]]
+
+
+def test_short_items(spark):
+    from itertools import combinations
+
+    masks = [*decontaminate.MASKS, decontaminate.SHORT_MASK]
+    assert all(any(e not in {s + o for o in m} for m in masks for s in range(9 - m[-1])) for e in range(9))
+    rng, items, rows = random.Random(35), [], []
+    for i, n in enumerate([1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13]):
+        w = [f"i{i}w{j}" for j in range(n)]
+        items.append((i, " ".join(w)))
+        for gone in [(), *[(e,) for e in range(n)], *list(combinations(range(n), 2))[:12]]:
+            text = [f"f{rng.random()}" for _ in range(20)]
+            text[7:7] = ["changed" if j in gone else x for j, x in enumerate(w)]
+            allowed = 2 if n >= 13 else 1 if n >= 9 else 0
+            rows.append((len(rows), " ".join(text), "en", "s", int(len(gone) > allowed)))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    kept = {r.doc_id for r in decontaminate.drop_leaks(docs_of(spark, rows), benchmark, short=True).collect()}
+    assert kept == {r[0] for r in rows if r[4]}
