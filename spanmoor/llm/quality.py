@@ -26,7 +26,8 @@ BUCKETS = HASHED + 2
 LEAST_RATIO = -5.0
 #: Allowed to each n-gram, as long texts repeat the drift of their language or
 #: topic between sample and whole, which n-grams taken as independent overstate.
-DRIFT = 0.1
+#: A text with fewer than LONG n-grams gets a share of it that grows from 0.
+DRIFT, LONG = 0.1, 400
 
 
 def gram_buckets(data: np.ndarray) -> np.ndarray:
@@ -86,12 +87,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     if not good.sum():
         return np.zeros(BUCKETS)
     # Pseudo-counts on both sides pull the ratio of a rare bucket towards 1.
-    return np.log((good + SMOOTH) / (every * (good.sum() / every.sum()) + SMOOTH)) + DRIFT
+    return np.log((good + SMOOTH) / (every * (good.sum() / every.sum()) + SMOOTH))
 
 
 def log_ratio(table: np.ndarray):
     """A column function of a text column: its log ratio; 0 for null and empty."""
     table = table.astype(np.float32)
+    drift = DRIFT if table.any() else 0.0
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
@@ -99,7 +101,9 @@ def log_ratio(table: np.ndarray):
         out = np.zeros(len(text))
         for a, b in slices(offsets, SLICE):
             at, of = all_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            out[a:b] = np.bincount(of, table[at], minlength=b - a).round(6)
+            grams = np.bincount(of, minlength=b - a)
+            allowance = drift * grams * np.minimum(1, grams / LONG)
+            out[a:b] = (np.bincount(of, table[at], minlength=b - a) + allowance).round(6)
         return pa.array(out)
 
     return score
