@@ -17,6 +17,16 @@ from .common import ascii_lower, materialize
 
 #: (verdict, host, path); a rule's name is its host and path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+#: Suffixes of several labels under which others register names. A short list, not
+#: the public one: under a suffix that is missing here, all share one domain.
+SUFFIXES = (
+    *("ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk sch.uk".split()),
+    *("com.au edu.au gov.au id.au net.au org.au co.nz govt.nz net.nz org.nz co.za org.za".split()),
+    *("ac.jp co.jp go.jp ne.jp or.jp ac.kr co.kr go.kr or.kr com.cn edu.cn gov.cn net.cn org.cn com.hk com.sg com.tw org.tw".split()),
+    *("ac.in co.in gov.in net.in org.in co.id co.il org.il co.th com.my com.ph com.vn com.tr org.tr com.ua".split()),
+    *("com.ar com.br gov.br net.br org.br com.co com.mx org.mx com.pe com.eg com.sa co.ke com.ng com.pl net.pl org.pl".split()),
+    *("github.io gitlab.io blogspot.com blogspot.co.uk wordpress.com herokuapp.com netlify.app pages.dev vercel.app web.app".split()),
+)
 #: Bad rate that the bound must exceed, width of the bound in standard
 #: deviations, and the range that a prior's strength is held to.
 LIMIT, WIDTH, WEAKEST, STRONGEST = 0.5, 1.645, 1.0, 1000.0
@@ -31,6 +41,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def name_of(host: Column) -> Column:
+    """The host without user name and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":[0-9]*$", "")
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, or null."""
     out = F.lit(None)
@@ -51,10 +66,13 @@ def _strength(level: DataFrame) -> DataFrame:
 
 def reputation(outcomes: DataFrame) -> DataFrame:
     """(host, n, bad) -> host, n, bad, rate, bound. Hosts need not be labelled
-    (n = 0): they get their domain's rate. The suffix of a host is its last
-    label, its registered domain the last two."""
+    (n = 0): they get their domain's rate. The suffix of a host is its longest
+    one of SUFFIXES, else its last label; its registered domain has one label more."""
     parts = F.split("host", r"\.")
-    hosts = materialize(outcomes.select("host", "n", "bad", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".").alias("domain"), F.element_at(parts, -1).alias("suffix")))
+    last = lambda n: F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), n), ".")
+    by = {n: [s for s in SUFFIXES if s.count(".") == n - 1] for n in (2, 3)}
+    pick = lambda more: F.when(last(3).isin(by[3]), last(3 + more)).when(last(2).isin(by[2]), last(2 + more)).otherwise(last(1 + more))
+    hosts = materialize(outcomes.select("host", "n", "bad", pick(1).alias("domain"), pick(0).alias("suffix")))
     total = lambda *by: hosts.groupBy(*by).agg(F.sum("n").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
     top = total().select(((F.coalesce("bad", F.lit(0.0)) + 0.5) / (F.coalesce("n", F.lit(0.0)) + 1)).alias("prior"))
 
@@ -77,13 +95,14 @@ def judge_pages(pages: DataFrame, labels: DataFrame, limit: float = LIMIT) -> Da
 
     ``labels`` (page_id, bad 0/1) are outcomes of some pages; repeated labels of
     a page count once, by the worse. A null url, or one without ``://``, has an
-    empty host, which has a reputation like any other.
+    empty host, which has a reputation like any other. User names and ports are
+    part of the host, but hosts that differ in these alone share a reputation.
     """
     told = labels.groupBy("page_id").agg(F.max("bad").alias("_bad")).withColumnRenamed("page_id", "_id")
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = materialize(rows)
-    counted = rows.join(told, F.col("page_id") == F.col("_id"), "left").groupBy("host").agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
+    rows = materialize(rows.withColumn("_name", name_of(F.col("host"))))
+    counted = rows.join(told, F.col("page_id") == F.col("_id"), "left").groupBy(F.col("_name").alias("host")).agg(F.count("_bad").alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
     known = materialize(reputation(counted).select(F.col("host").alias("_host"), "bound"))
-    rows = rows.join(known, F.col("host") == F.col("_host")).withColumn("_rule", rule_of(F.col("host"), F.col("path")))
+    rows = rows.join(known, F.col("_name") == F.col("_host")).withColumn("_rule", rule_of(F.col("host"), F.col("path")))
     method = F.when(F.col("bound") > limit, F.lit("block")).otherwise(F.lit("allow"))
     return rows.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), method).alias("verdict"))

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from test_documents import brute_groups, docs_of, near_copies, words
 
-from spanmoor.llm import decontaminate, minhash, neardup, quality
+from spanmoor.llm import decontaminate, hosts, minhash, neardup, quality
 
 
 def brute_components(rows, percent):
@@ -100,3 +100,20 @@ def test_short_junk_is_rejected(spark):
     assert found[1] < quality.LEAST_RATIO and found[2] < quality.LEAST_RATIO < found[3]
     none = quality.log_ratio(np.zeros(quality.BUCKETS))
     assert {r.r for r in spark.createDataFrame(texts, "i int, t string").select(none(F.col("t")).alias("r")).collect()} == {0}
+
+
+def test_suffixes_of_several_labels(spark):
+    rows = [("www.a.co.uk", 60, 60), ("m.a.co.uk", 0, 0), ("www.b.co.uk", 60, 0), ("m.b.co.uk", 0, 0), ("x.c.blogspot.co.uk", 60, 60), ("y.c.blogspot.co.uk", 0, 0), ("d.blogspot.co.uk", 60, 0), ("co.uk", 0, 0), ("e.com", 60, 0)]
+    rate = {r.host: r.rate for r in hosts.reputation(spark.createDataFrame(rows, "host string, n long, bad long")).collect()}
+    assert len(rate) == len(rows)
+    assert rate["m.a.co.uk"] > 0.7 > 0.3 > rate["m.b.co.uk"] and rate["y.c.blogspot.co.uk"] > 0.7 > 0.3 > rate["d.blogspot.co.uk"]
+
+
+def test_users_and_ports_share_a_reputation(spark):
+    urls = ["http://me:pw@bad.com:8080/x", "http://bad.com/y", "http://bad.com:443", "http://u@good.com/", "http://[::1]:80/"]
+    pages = spark.createDataFrame([(i, urls[0] if i >= 10 else urls[i]) for i in [*range(5), *range(10, 60)]] + [(i, "http://good.com") for i in range(60, 99)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(10, 99)], "page_id long, bad int")
+    found = {r.page_id: (r.host, r.verdict) for r in hosts.judge_pages(pages, labels).collect()}
+    assert len(found) == 94 and [found[i] for i in range(4)] == [("me:pw@bad.com:8080", "block"), ("bad.com", "block"), ("bad.com:443", "block"), ("u@good.com", "allow")]
+    names = ["me:pw@bad.com:8080", "a@b@c.de", "[::1]:80", "[::1]", "x.y:", ""]
+    assert [r.n for r in spark.createDataFrame([(i, h) for i, h in enumerate(names)], "i int, h string").orderBy("i").select(hosts.name_of(hosts.F.col("h")).alias("n")).collect()] == ["bad.com", "c.de", "[::1]", "[::1]", "x.y", ""]
