@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, materialize, mix64, shingle_hashes, slices, text_buffers, word_hashes
+from .common import SLICE, WORD, materialize, mix64, shingle_hashes, slices, text_buffers, word_hashes
 from .minhash import PERCENT, ROWS, band_keys, bands_for, distinct_elements, signatures
 
 WORDS = 5
@@ -230,7 +230,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, largest: int = LARGEST) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, cls for every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, cls, root (the component's least
+    class, null without words) for every row of ``docs``.
 
     Texts without words, null ones too, are linked with nothing and are their
     own component. Rows that repeat an id and a text share a component, and
@@ -266,26 +267,47 @@ def groups(docs: DataFrame, percent: int = PERCENT, largest: int = LARGEST) -> D
     lows = some.groupBy("cls").agg(F.min("doc_id").alias("_low")).join(labels, F.col("cls") == F.col("node"), "left").select("cls", "_low", F.coalesce("label", "cls").alias("_root"))
     lows = materialize(lows)
     least = lows.groupBy("_root").agg(F.min("_low").alias("_id"))
-    named = lows.join(least, "_root").select(F.col("cls").alias("_cls"), F.col("_id"))
+    named = lows.join(least, "_root").select(F.col("cls").alias("_cls"), F.col("_id"), F.col("_root"))
     out = rows.join(named, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "cls")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "cls", F.col("_root").alias("root"))
 
 
 def group_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return groups(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def class_of(text: pa.Array) -> pa.Array:
+    """The class of each text, as in fingerprints()."""
+    data, offsets = text_buffers(text)
+    out = np.zeros(len(text), np.int64)
+    for a, b in slices(offsets, SLICE):
+        out[a:b] = class_ids(*shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a)
+    return pa.array(out)
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their group. Rows that repeat an id
-    stay or go together, and of equal ones among them one stays. Joined are the
-    ids that go, as they are the fewer."""
-    found = groups(docs, percent).groupBy(F.col("doc_id").alias("_id")).agg(F.count_if("kept").alias("_kept"), F.count("*").alias("_rows"))
+    """One row of ``docs`` for each group, of its least id; where that has more
+    than one row in the group, or is null, of the least class. Texts without words
+    stay, one of those that share an id and a text. Joined are the ids that go,
+    as they are the fewer; only rows of repeated or null ids are judged by class."""
+    every = groups(docs, percent)
+    found = every.groupBy(F.col("doc_id").alias("_id")).agg(F.count_if("kept").alias("_kept"), F.count("*").alias("_rows"))
     odd = materialize(found.where("_rows > 1 or _kept = 0").select("_id", "_kept"))
     some = odd.where("_kept > 0")
     once = docs.join(odd, docs["doc_id"].eqNullSafe(odd["_id"]), "left_anti")
+    if some.isEmpty():
+        return once
     again = docs.join(some, docs["doc_id"].eqNullSafe(some["_id"]), "left_semi")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    blank = again.where(~worded).dropDuplicates(["doc_id", "text"])
+    # The rows that stand for a group have one id, that of the group.
+    stand = every.where("kept and n_shingles > 0").groupBy("root").agg(F.first("doc_id").alias("_id"), F.min("cls").alias("_stands"))
+    stand = materialize(stand.join(some.select(F.col("_id").alias("_some")), F.col("_id").eqNullSafe(F.col("_some")), "left_semi").select("_id", "_stands"))
+    told = again.where(worded).withColumn("__class", F.arrow_udf(class_of, "long")(F.col("text")))
+    told = told.join(stand, told["doc_id"].eqNullSafe(stand["_id"]) & (told["__class"] == stand["_stands"]), "left_semi")
+    told = told.dropDuplicates(["doc_id", "__class"]).drop("__class")
+    return once.unionByName(blank).unionByName(told)
 
 
 GROUPS_SQL = r"""

@@ -117,3 +117,24 @@ def test_users_and_ports_share_a_reputation(spark):
     assert len(found) == 94 and [found[i] for i in range(4)] == [("me:pw@bad.com:8080", "block"), ("bad.com", "block"), ("bad.com:443", "block"), ("u@good.com", "allow")]
     names = ["me:pw@bad.com:8080", "a@b@c.de", "[::1]:80", "[::1]", "x.y:", ""]
     assert [r.n for r in spark.createDataFrame([(i, h) for i, h in enumerate(names)], "i int, h string").orderBy("i").select(hosts.name_of(hosts.F.col("h")).alias("n")).collect()] == ["bad.com", "c.de", "[::1]", "[::1]", "x.y", ""]
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated and null ids: rows are judged, not ids."""
+    def near(i, k):
+        return " ".join(f"g{i}w{j}" if j != 10 * k else f"n{k}" for j in range(60))
+
+    rows = [(1, near(1, 0)), (None, near(1, 1)), (None, near(2, 0)), (None, near(2, 1)), (None, near(2, 1).upper()), (None, near(3, 0))]
+    rows += [(5, near(4, 0)), (5, near(5, 0)), (4, near(5, 1)), (6, near(6, 0)), (6, near(6, 1)), (6, near(7, 0)), (6, near(7, 0)), (7, near(6, 2))]
+    rows += [(None, None), (None, None), (None, " "), (8, ""), (8, "")]
+    rows = [(*r, "en", "s", i) for i, r in enumerate(rows)]
+    groups = brute_components(rows, 80)
+    kept = Counter(r.n_chars for r in neardup.keep_one(docs_of(spark, rows), 80).collect())
+    assert set(kept.values()) == {1}
+    for g in groups:
+        if words(rows[min(g)][1]):
+            own = [i for i in g if i in kept]
+            assert len(own) == 1
+            ids = [rows[i][0] for i in g if rows[i][0] is not None]
+            assert rows[own[0]][0] == (min(ids) if ids else None)
+    assert sorted(str(rows[i][1]) for i in kept if not words(rows[i][1])) == ["", " ", "None"]
