@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from test_documents import brute_groups, docs_of, near_copies, words
 
-from spanmoor.llm import decontaminate, hosts, minhash, neardup, quality
+from spanmoor.llm import decontaminate, hosts, minhash, neardup
 
 
 def brute_components(rows, percent):
@@ -88,20 +88,6 @@ def test_short_items(spark):
     assert kept == {r[0] for r in rows if r[4]}
 
 
-def test_short_junk_is_rejected(spark):
-    """An allowance for each n-gram outweighs what little short texts hold."""
-    import numpy as np
-    from pyspark.sql import functions as F
-
-    ratio = quality.log_ratio(np.full(quality.BUCKETS, -0.09))
-    texts = [(0, ""), (1, "x" * 103), (2, "x" * 203), (3, "x" * 403), (4, "x" * 2003)]
-    found = {r.i: r.r for r in spark.createDataFrame(texts, "i int, t string").select("i", ratio(F.col("t")).alias("r")).collect()}
-    assert [found[i] for i in range(5)] == pytest.approx([0, 0.25 * 10 - 9, 0.5 * 20 - 18, 4, 20], abs=1e-3)
-    assert found[1] < quality.LEAST_RATIO and found[2] < quality.LEAST_RATIO < found[3]
-    none = quality.log_ratio(np.zeros(quality.BUCKETS))
-    assert {r.r for r in spark.createDataFrame(texts, "i int, t string").select(none(F.col("t")).alias("r")).collect()} == {0}
-
-
 def test_suffixes_of_several_labels(spark):
     rows = [("www.a.co.uk", 60, 60), ("m.a.co.uk", 0, 0), ("www.b.co.uk", 60, 0), ("m.b.co.uk", 0, 0), ("x.c.blogspot.co.uk", 60, 60), ("y.c.blogspot.co.uk", 0, 0), ("d.blogspot.co.uk", 60, 0), ("co.uk", 0, 0), ("e.com", 60, 0)]
     rate = {r.host: r.rate for r in hosts.reputation(spark.createDataFrame(rows, "host string, n long, bad long")).collect()}
