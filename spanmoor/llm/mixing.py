@@ -97,9 +97,11 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def draw_documents(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes at least a word of, each once for every
     round it takes part in, whole; columns as in ``docs``."""
-    out = mix(docs.withColumn("__words", word_count(F.col("text"))), F.col("doc_id"), F.col("source"), F.col("__words"))
-    times = F.ceil(F.col("taken") / F.greatest(F.col("__words"), F.lit(1))).cast("int")
-    return out.select(*[out[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), times)).alias("__round")).drop("__round")
+    # Whole rows in a struct: no column of ``docs`` meets the inner names.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_of"), word_count(F.col("text")).alias("_words"))
+    out = mix(rows, F.col("_id"), F.col("_of"), F.col("_words"))
+    times = F.ceil(F.col("taken") / F.greatest(F.col("_words"), F.lit(1))).cast("int")
+    return out.select("_row", F.explode(F.array_repeat(F.lit(1), times)).alias("_round")).select("_row.*")
 
 
 MIX_SQL = r"""

@@ -1,9 +1,12 @@
 """Quality by importance resampling.
 
 Texts are bags of hashed byte n-grams. Two generative models, one of labelled
-good texts and one of all texts, give each document the log ratio of its
-likelihoods, and documents are drawn without replacement in proportion to that
-ratio: the k greatest sums of log ratio and Gumbel noise.
+good texts and one of all texts, give each n-gram a log ratio of likelihoods. A
+text counts as a passage of one length: its log weight is PASSAGE times the mean
+log ratio of its n-grams, PRIOR n-grams of ratio 1 added, so that long texts do
+not outweigh short ones. Documents are drawn without replacement in proportion to
+their weights: the k greatest sums of log weight and Gumbel noise. ``k`` is the
+number of good documents that the labels lead to expect.
 """
 
 from __future__ import annotations
@@ -15,18 +18,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, materialize, slices, text_buffers, word_hashes
+from .common import SLICE, free_name, materialize, slices, text_buffers, word_hashes
 
 #: Hash buckets, the n-gram's bytes, pseudo-counts a bucket gets, and the
 #: greatest number of labelled rows that the target model is fitted on.
 HASHED, GRAM, SMOOTH, SAMPLE = 1 << 16, 4, 16.0, 20_000
 #: Two more buckets: for a word that repeats the one before it, or doesn't.
 BUCKETS = HASHED + 2
-#: A document counts as likely unless the odds against it reach 150 to 1.
-LEAST_RATIO = -5.0
-#: Allowed to each n-gram, as long texts repeat the drift of their language or
-#: topic between sample and whole, which n-grams taken as independent overstate.
-DRIFT = 0.1
+#: The n-grams that a text counts as, and those of ratio 1 that are mixed in.
+PASSAGE, PRIOR = 100.0, 50.0
+#: Seed of the Gumbel noise, and steps of a log weight's unit in which weights
+#: are counted to estimate ``k``.
+SEED, STEPS = 7, 10
 
 
 def gram_buckets(data: np.ndarray) -> np.ndarray:
@@ -86,26 +89,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     if not good.sum():
         return np.zeros(BUCKETS)
     # Pseudo-counts on both sides pull the ratio of a rare bucket towards 1.
-    return np.log((good + SMOOTH) / (every * (good.sum() / every.sum()) + SMOOTH)) + DRIFT
+    return np.log((good + SMOOTH) / (every * (good.sum() / every.sum()) + SMOOTH))
 
 
-def log_ratio(table: np.ndarray):
-    """A column function of a text column: its log ratio; 0 for null and empty."""
+def log_weight(table: np.ndarray):
+    """A column function of a text column: its log weight; null for a text
+    without n-grams, null texts among them."""
     table = table.astype(np.float32)
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
         data, offsets = text_buffers(text)
-        out = np.zeros(len(text))
+        out, n = np.zeros(len(text)), np.zeros(len(text), np.int64)
         for a, b in slices(offsets, SLICE):
             at, of = all_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            out[a:b] = np.bincount(of, table[at], minlength=b - a).round(6)
-        return pa.array(out)
+            n[a:b] = np.bincount(of, minlength=b - a)
+            out[a:b] = np.bincount(of, table[at], minlength=b - a) / (n[a:b] + PRIOR)
+        return pa.array((PASSAGE * out).round(6), mask=n == 0)
 
     return score
 
 
-def gumbel(key: Column, seed: int = 7) -> Column:
+def gumbel(key: Column, seed: int = SEED) -> Column:
     """Standard Gumbel noise that depends on the key and the seed alone."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), key.cast("string")), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(u))
@@ -131,41 +136,74 @@ def kth_greatest(df: DataFrame, value: str, k: int) -> float | None:
     return (prefix - (1 << 62)) / 1e6
 
 
-class Resampler:
-    """Fitted on documents and labels; ``keep`` filters any frame of documents."""
+def expected_good(counts: list[tuple[int, int | None, int]]) -> float:
+    """The share of good rows, from (step of the weight, label or null, rows).
+
+    Labelled rows need not be a fair sample of good and bad ones. So the weights
+    are cut where the labels part best (greatest difference of the shares of good
+    and of bad rows above), and the share of all rows above is corrected for the
+    good rows below and the bad ones above. Without labels of both kinds: 1."""
+    steps = sorted({s for s, _, _ in counts})
+    at = {s: i for i, s in enumerate(steps)}
+    rows = np.zeros((3, len(steps) + 1))  # bad, good, all; no row is at or above the last
+    for s, label, n in counts:
+        rows[2, at[s]] += n
+        if label is not None:
+            rows[label, at[s]] += n
+    if not rows[0].sum() or not rows[1].sum():
+        return 1.0
+    bad, good, every = (np.cumsum(r[::-1])[::-1] / r.sum() for r in rows)
+    best = int((good - bad).argmax())
+    if good[best] <= bad[best]:
+        return 1.0
+    return float(np.clip((every[best] - bad[best]) / (good[best] - bad[best]), 0, 1))
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-        self.table = fit(docs, labels, sample)
-        self.score = log_ratio(self.table)
-        narrow = materialize(docs.select("doc_id", self.score(F.col("text")).alias("log_ratio")).withColumn("draw", self.draw(F.col("log_ratio"), F.col("doc_id"))))
-        self.k = narrow.where(F.col("log_ratio") >= LEAST_RATIO).count()
-        self.least = kth_greatest(narrow, "draw", self.k)
-        self.scored = narrow
 
-    @staticmethod
-    def draw(ratio: Column, key: Column) -> Column:
-        return F.round(ratio + gumbel(key), 6)
+class Resampler:
+    """Fitted on documents and labels (doc_id, good). ``scored`` has every row:
+    ``columns`` of the documents, log_weight, draw and, in ``kept``, the choice."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, columns: tuple[str, ...] = ("doc_id",), seed: int = SEED):
+        table = fit(docs, labels, sample)
+        self.weight, self.draw, self.kept = (free_name(c, docs.columns) for c in ("log_weight", "draw", "kept"))
+        rows = docs.select(*columns, log_weight(table)(F.col("text")).alias(self.weight))
+        rows = materialize(rows.withColumn(self.draw, F.round(F.col(self.weight) + gumbel(F.col("doc_id"), seed), 6)))
+        self.k, self.least = 0, None
+        if table.any():
+            told = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("good").cast("int")).alias("_good"))
+            some = rows.select("doc_id", F.floor(F.col(self.weight) * STEPS).alias("_step")).where("_step is not null")
+            counts = some.join(told, F.col("doc_id") == F.col("_id"), "left").groupBy("_step", "_good").count().collect()
+            self.k = round(expected_good([tuple(r) for r in counts]) * sum(r["count"] for r in counts))
+            self.least = kth_greatest(rows.where(F.col(self.draw).isNotNull()), self.draw, self.k)
+            chosen = F.lit(False) if self.least is None else F.coalesce(F.col(self.draw) >= F.lit(self.least) - 5e-7, F.lit(False))
+        else:  # nothing tells good from bad
+            chosen = F.lit(True)
+        self.scored = rows.withColumn(self.kept, chosen)
 
-    def chosen(self, draw: Column) -> Column:
-        return F.lit(False) if self.least is None else draw >= F.lit(self.least) - 5e-7
 
-    def keep(self, docs: DataFrame) -> DataFrame:
-        out = docs.withColumn("__ratio", self.score(F.col("text")))
-        return out.where(self.chosen(self.draw(F.col("__ratio"), F.col("doc_id")))).select(*docs.columns)
+def good_labels(labels: DataFrame) -> DataFrame:
+    """Rows of ``labels`` without a quality of 0 or 1 tell nothing."""
+    return labels.where(F.col("quality").isin(0, 1)).select("doc_id", (F.col("quality") == 1).alias("good"))
 
 
-def good_labels(labels: DataFrame) -> DataFrame:
-    return labels.select("doc_id", (F.col("quality") == 1).alias("good"))
+def score_documents(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, log_weight, draw, kept for every row of ``docs``.
+
+    Texts without n-grams, null and empty ones among them, have no weight and no
+    draw and are not kept, unless no label is good: then every row is kept. Ties
+    at the least draw all stay, so rows that repeat an id and a text are kept or
+    not together. Other columns of ``docs``, whatever their names, are not read;
+    texts of any length are read whole."""
+    return Resampler(docs, good_labels(labels), seed=seed).scored
 
 
 def select_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, log_ratio, draw, kept of the documents that are chosen; ``kept``
-    is true for each, as rejected documents have no row. Ties at the least draw
-    all stay. Null and empty texts have ratio 0 and count as likely."""
-    r = Resampler(docs, good_labels(labels))
-    return r.scored.where(r.chosen(F.col("draw"))).withColumn("kept", F.lit(True))
+    """The rows of ``score_documents`` that are kept."""
+    return score_documents(docs, labels).where("kept")
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are chosen, with their columns."""
-    return Resampler(docs, good_labels(labels)).keep(docs)
+    """The rows of ``docs`` that are kept, with their columns. Texts are scored
+    once: rows are written with their draws and read again."""
+    r = Resampler(docs, good_labels(labels), columns=tuple(docs.columns))
+    return r.scored.where(F.col(r.kept)).select(*docs.columns)

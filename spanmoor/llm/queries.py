@@ -11,7 +11,7 @@ from .hosts import judge_pages
 from .html import extract
 from .mixing import MIX_SQL, mix_documents
 from .neardup import GROUPS_SQL, group_documents
-from .quality import select_documents
+from .quality import score_documents as score_quality
 from .shards import shard_documents
 from .suffix import strip_documents
 from .topk import TOP_SQL, top_k
@@ -27,7 +27,7 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -271,6 +271,104 @@ def test_quality_edges(spark):
     assert quality.keep_documents(clashing(spark), none).count() == len(AWKWARD)
 
 
+def mixed_quality_rows(n=300):
+    """Texts of every degree between the two kinds, and of very different lengths."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(n):
+        foul = rng.random()
+        text = " ".join(rng.choice(["stone", "water", "garden", "evening"]) + ("%%" if rng.random() < foul else "") for _ in range(rng.choice([3, 20, 200, 2000])))
+        rows.append((i, text, "en", "s", 0))
+        if i % 2:
+            labels.append((i, int(rng.random() > foul), 0))
+    return rows, labels
+
+
+def brute_weights(rows, labels):
+    """As the operator says it, a text and an n-gram at a time."""
+
+    def bag(text):
+        x, out = text.encode(), []
+        for i in range(len(x) - 3):
+            h = int.from_bytes(x[i : i + 4], "big")
+            h = ((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+            out.append(((h ^ h >> 12) * 0x297A2D39 & 0xFFFFFFFF) >> 16)
+        w = words(text)
+        return out + [quality.HASHED + (a != b) for a, b in zip(w, w[1:])]
+
+    bags = [bag(r[1] or "") for r in rows]
+    good = {i for i, q, _ in labels if q == 1}
+    every, chosen = Counter(), Counter()
+    for r, b in zip(rows, bags):
+        every.update(b)
+        chosen.update(b if r[0] in good else [])
+    share = sum(chosen.values()) / sum(every.values())
+    ratio = {g: math.log((chosen[g] + quality.SMOOTH) / (n * share + quality.SMOOTH)) for g, n in every.items()}
+    return [quality.PASSAGE * sum(ratio[g] for g in b) / (len(b) + quality.PRIOR) if b else None for b in bags]
+
+
+def test_quality_against_brute_force(spark):
+    rows, labels = mixed_quality_rows()
+    rows = rows + [(1000 + i, *r[1:]) for i, r in enumerate(AWKWARD)] + [rows[1], (None, *rows[2][1:])]
+    df, told = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    noise = {r.k: r.g for r in spark.createDataFrame([(r[0],) for r in rows], "k long").distinct().select("k", quality.gumbel(quality.F.col("k")).alias("g")).collect()}
+    weights = brute_weights(rows, labels)
+    found = quality.score_documents(df, told).collect()
+    assert len(found) == len(rows)
+    want = sorted((str(r[0]), w) for r, w in zip(rows, weights) if w is not None)
+    got = sorted((str(r.doc_id), r.log_weight) for r in found if r.log_weight is not None)
+    assert [i for i, _ in got] == [i for i, _ in want] and [w for _, w in got] == pytest.approx([w for _, w in want], abs=2e-4)
+    assert not any(r.kept for r in found if r.log_weight is None) and any(not r.kept for r in found if r.log_weight is not None)
+    for r in found:
+        assert r.draw is None or r.draw == pytest.approx(r.log_weight + noise[r.doc_id], abs=2e-6)
+    # k by the labels: of all rows above the best cut, corrected for errors either way.
+    good = {i: q for i, q, _ in labels}
+    some = [(math.floor(r.log_weight * 10), good.get(r.doc_id)) for r in found if r.log_weight is not None]
+    rate = lambda t, label: sum(s >= t for s, x in some if x == label) / sum(x == label for _, x in some)
+    cut = max(sorted({s for s, _ in some}), key=lambda t: rate(t, 1) - rate(t, 0))
+    k = round(len(some) * min(1, max(0, (sum(s >= cut for s, _ in some) / len(some) - rate(cut, 0)) / (rate(cut, 1) - rate(cut, 0)))))
+    draws = sorted((r.draw for r in found if r.draw is not None), reverse=True)
+    assert 0 < k < len(draws) and {r.kept for r in found if r.draw is not None and r.draw >= draws[k - 1]} == {True}
+    assert sum(r.kept for r in found) == sum(d >= draws[k - 1] for d in draws)
+
+
+def test_quality_is_drawn(spark):
+    """The noise decides among texts of like weight, and lengths don't."""
+    rows, labels = mixed_quality_rows()
+    df, told = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, two = ({r.doc_id: r for r in quality.score_documents(df, told, seed).collect()} for seed in (1, 2))
+    kept = [{i for i, r in d.items() if r.kept} for d in (one, two)]
+    assert len(kept[0] ^ kept[1]) > 4 and abs(len(kept[0]) - len(kept[1])) <= 1
+    assert all(one[i].log_weight == two[i].log_weight for i in one)
+    long_ = [i for i in one if len(rows[i][1]) > 500]
+    assert abs(np.corrcoef([len(rows[i][1]) for i in long_], [one[i].log_weight for i in long_])[0, 1]) < 0.3
+    # A draw from below the line: the choice is no cut by weight.
+    assert min(one[i].log_weight for i in kept[0]) < max(r.log_weight for i, r in one.items() if i not in kept[0])
+
+
+def test_expected_good():
+    step = [(10, 1, 80), (10, None, 800), (0, 0, 20), (0, None, 200)]
+    assert quality.expected_good(step) == pytest.approx(0.8)
+    biased = [(10, 1, 5), (10, None, 800), (0, 0, 200), (0, None, 200)]  # few good labels
+    assert quality.expected_good(biased) == pytest.approx(805 / 1205)
+    assert quality.expected_good([(3, 1, 4), (2, None, 5)]) == quality.expected_good([(3, 0, 4)]) == quality.expected_good([]) == 1
+    mixed = [(5, 1, 90), (5, 0, 10), (5, None, 100), (1, 1, 10), (1, 0, 90), (1, None, 100)]
+    assert quality.expected_good(mixed) == pytest.approx(0.5)
+
+
+def test_quality_awkward(spark):
+    rows, labels = quality_rows(80)
+    extra = [(900, "the house " * 40_000, "en", "s", 0)] * 2
+    told = spark.createDataFrame([*labels, (900, 1, 0), (900, 1, 0), (None, 1, 0), (901, None, None), (902, 7, 0)], "doc_id long, quality int, toxic int")
+    found = quality.score_documents(docs_of(spark, rows + extra + AWKWARD[:3]), told).collect()
+    assert len(found) == 85 and [r.kept for r in found if r.doc_id == 900] == [True, True]
+    df = clashing(spark).selectExpr("*", "'y' as log_weight", "'y' as Draw", "'y' as __ratio")
+    kept = quality.keep_documents(df, told)
+    assert kept.columns == df.columns and 0 < kept.count() <= len(AWKWARD)
+    assert quality.score_documents(docs_of(spark, rows), told.where("quality = 0")).where("kept").count() == 80
+    assert mixing.draw_documents(df).columns == df.columns
+
+
 # --- toxicity ----------------------------------------------------------------
 
 
