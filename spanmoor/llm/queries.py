@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontaminate import LEAKS_SQL, leaked_documents
-from .hosts import judge_pages
+from .hosts import JUDGE_SQL, judge_pages, numbered_outcomes
 from .html import extract
 from .mixing import MIX_SQL, mix_documents
 from .neardup import GROUPS_SQL, group_documents
@@ -47,11 +47,10 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes are the rows of ``labels`` with the page's id: bad if of low
-    quality or toxic."""
-    bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
-    labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return judge_pages(read_table(spark, sf_dir, "pages"), labels)
+    """Outcomes are the labels of the documents that the pages show, by the
+    number in their urls."""
+    pages, labels = read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels")
+    return judge_pages(pages, numbered_outcomes(pages, labels))
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +62,4 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_near_duplicates, op3_quality, op4_toxicity, op5_decontaminate, op6_top_k, op7_shard, op8_url_filter, op9_repeated_passages, op10_main_text)}
-ORACLE_SQL = {"op1_mix_sources": MIX_SQL, "op2_near_duplicates": GROUPS_SQL, "op5_decontaminate": LEAKS_SQL, "op6_top_k": TOP_SQL}
+ORACLE_SQL = {"op1_mix_sources": MIX_SQL, "op2_near_duplicates": GROUPS_SQL, "op5_decontaminate": LEAKS_SQL, "op6_top_k": TOP_SQL, "op8_url_filter": JUDGE_SQL}

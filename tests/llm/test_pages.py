@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from spanmoor.llm import hosts, html, topk
@@ -62,7 +63,16 @@ def brute_reputation(counts):
     s = level(total(suffix), defaultdict(lambda: (b + 0.5) / (n + 1)))
     d = level(total(domain), {g: s[suffix(g)][0] for g in map(domain, counts)})
     h = level(counts, {g: d[domain(g)][0] for g in counts})
-    return {g: (r, r - 1.645 * math.sqrt(r * (1 - r) / (w + 1))) for g, (r, w) in h.items()}
+    return {g: (r, brute_above(r * w, (1 - r) * w)) for g, (r, w) in h.items()}
+
+
+def brute_above(a, b, limit=0.5):
+    """The beta integral by a plain sum over the logit."""
+    width = 60 / min(a, b) if min(a, b) < 1 else 60 * math.sqrt((a + b) / (a * b))
+    t = math.log(a / b) + np.linspace(-width, width, 1_000_001)
+    y = -a * np.logaddexp(0, -t) - b * np.logaddexp(0, t)
+    y = np.cumsum(np.exp(y - y.max()))
+    return 1 - np.interp(math.log(limit / (1 - limit)), t + (t[1] - t[0]) / 2, y) / y[-1]
 
 
 def test_reputation(spark):
@@ -75,8 +85,54 @@ def test_reputation(spark):
     df = spark.createDataFrame([(h, *v) for h, v in counts.items()], "host string, n long, bad long")
     told = brute_reputation(counts)
     for r in hosts.reputation(df).collect():
-        assert (r.rate, r.bound) == pytest.approx(told[r.host], abs=1e-9)
-    assert any(b > 0.5 for _, b in told.values())
+        assert (r.rate, r.above) == pytest.approx(told[r.host], abs=1e-4)
+    assert any(p > 0.95 for _, p in told.values()) and any(0.05 < p < 0.95 for _, p in told.values())
+
+
+def test_beta_above(spark):
+    from pyspark.sql import functions as F
+
+    pairs = [(0.01, 1.0), (1.0, 0.02), (0.5, 0.5), (3.0, 2.0), (60.0, 40.0), (50_000.0, 49_500.0), (0.3, 1000.0), (1000.0, 0.3), (20.0, 20.0)]
+    for limit in (0.5, 0.2):
+        found = spark.createDataFrame(pairs, "a double, b double").select("a", "b", hosts.beta_above(F.col("a"), F.col("b"), limit).alias("p")).collect()
+        for r in found:
+            assert r.p == pytest.approx(brute_above(r.a, r.b, limit), abs=2e-4)
+    # a, b whole: the binomial sum
+    tail = lambda a, b: sum(math.comb(a + b - 1, j) for j in range(a)) / 2 ** (a + b - 1)
+    for a, b in ((3, 2), (7, 12), (20, 5)):
+        assert spark.range(1).select(hosts.beta_above(F.lit(float(a)), F.lit(float(b)))).first()[0] == pytest.approx(tail(a, b), abs=1e-6)
+
+
+def test_whole_url_query(spark, tmp_path):
+    """Hosts with bad pages are blocked, with their SQL on the same tables."""
+    import duckdb
+
+    from spanmoor.llm import queries
+
+    rng = random.Random(4)
+    kinds = {"pills.spam.net": 0.97, "win.spam.net": 0.95, "news.fair.net": 0.05, "www.fair.net": 0.03, "a.shop.co.uk": 0.9, "b.home.co.uk": 0.02, "10.0.0.1": 0.9, "10.0.9.1": 0.05, "u:p@pills.spam.net:80": 0.97, "x.com": 0.1}
+    pages, labels = [], []
+    for i in range(1500):
+        host = rng.choice(list(kinds))
+        pages.append((i, f"http://{host.upper() if i % 9 == 0 else host}/{rng.choice(['en', 'de'])}/{10_000 + i}{rng.choice(['', '.html', '/', '?q=/1/2'])}", "<p>x"))
+        if i % 2:
+            bad = rng.random() < kinds[host]
+            labels.append((10_000 + i, int(not bad) if i % 3 else 1, int(bad) if i % 3 == 0 else 0))
+    pages += [(5000, "http://new.spam.net/fr/7", ""), (5001, "http://new.fair.net/fr/7", ""), (None, None, None), (None, "http://x.com/en/10001", "x"), (5002, "none", "x"), *pages[:5]]
+    labels += [labels[0], (labels[1][0], 1, 1), (77, None, None), (None, 0, 0)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = queries.op8_url_filter(spark, str(tmp_path)).collect()
+    assert len(found) == len(pages)
+    told = {r.host: r.verdict for r in found if r.rule is None}
+    blocked = {h for h, v in told.items() if v == "block"}
+    assert blocked == {"pills.spam.net", "win.spam.net", "new.spam.net", "a.shop.co.uk", "10.0.0.1", "u:p@pills.spam.net:80"}
+    db = duckdb.connect()
+    for t in ("pages", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    want = db.execute(f"SELECT {', '.join(columns)} FROM ({hosts.JUDGE_SQL})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in columns)) for r in found)
 
 
 # --- HTML --------------------------------------------------------------------
