@@ -186,6 +186,38 @@ def test_chain_of_links(spark):
     assert {r.component_id for r in found} == {r[2] for r in brute_groups(rows)}
 
 
+def test_null_and_repeated_ids(spark):
+    """Each class fetches its own text, however many rows share its id."""
+    rng = random.Random(41)
+    base = [[f"b{k}w{j}" for j in range(40)] for k in range(40)]
+
+    def text(i):
+        w = list(base[i % 40])
+        w[(i // 40) % 20 + 10] = f"n{i // 40}"
+        return " ".join(w)
+
+    rows = [(None, text(i), "en", "s", 0) for i in range(600)] + [(7, text(i + 50), "en", "s", 0) for i in range(600)] + [(8, text(3), "en", "s", 0)] * 200
+    rng.shuffle(rows)
+    found = neardup.groups(docs_of(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found), key=str) == brute_groups(rows)
+    n = len({tuple(words(r[1])) for r in rows})
+    kinds = docs_of(spark, rows)
+    _, classes = neardup.classes_of(neardup.fingerprints(kinds, 28))
+    wanted = classes.select(neardup.F.col("_at.doc_id").alias("_id"), neardup.F.col("_at.print").alias("_print"), "cls", "check")
+    assert classes.count() == n
+    joined = kinds.withColumn("print", neardup.F.xxhash64("text")).join(wanted, (neardup.F.col("print") == neardup.F.col("_print")) & neardup.F.col("doc_id").eqNullSafe(neardup.F.col("_id")))
+    assert n <= joined.count() <= n + 200 and neardup.full_sets(joined.coalesce(1).select("text", "cls", "check"), 28).count() == n
+
+
+def test_classes_that_clash(spark):
+    """Sets of one class and another check are classes of their own."""
+    rows = spark.createDataFrame([(1, 10, 3, 5, 7, [1]), (2, 10, 3, 5, 7, [1]), (3, 11, 3, 5, 8, [2]), (None, 12, 2, 6, 9, [3]), (4, 0, 0, 5, 1, [0])], "doc_id long, print long, n long, cls long, check long, keys array<long>")
+    fixed, classes = neardup.classes_of(rows)
+    by = {r.check: (r._low, r.cls) for r in classes.collect()}
+    assert {k: v[0] for k, v in by.items()} == {7: 1, 8: 3, 9: None} and len({v[1] for v in by.values()}) == 3
+    assert {(r.doc_id, r.cls) for r in fixed.where("n > 0").collect()} == {(1, by[7][1]), (2, by[7][1]), (3, by[8][1]), (None, by[9][1])}
+
+
 def test_signatures_estimate():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 400, dtype=np.uint64)
@@ -579,6 +611,45 @@ def test_repeated_passages_edges(spark):
     assert sorted((tuple(r) for r in rows), key=str) == brute_cut(AWKWARD)
 
 
+def test_repeated_bytes(spark):
+    """Texts that repeat themselves give few runs, and are still cut exactly."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(29)
+    rows = [(1, "a" * 6000, "en", "s", 0), (2, "ab" * 2500 + "c", "en", "s", 0), (3, "".join(rng.choice("xyz") for _ in range(700)) + "a" * 900, "en", "s", 0), (4, ("wort " * 7 + "x") * 150, "en", "s", 0), (5, "b" * 400, "en", "s", 0)]
+    found = suffix.strip_documents(docs_of(spark, rows)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute_cut(rows)
+    long_ = docs_of(spark, [(1, "a" * 1_000_000, "en", "s", 0), (2, "b" * 399, "en", "s", 0)])
+    told = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix.strip_documents(long_).collect()}
+    assert told == {1: (1_000_000, 1), 2: (0, 0)}
+    keyed = long_.select(F.lit(1).cast("long").alias("row"), F.lit(1).cast("long").alias("key"), F.lit(1).cast("long").alias("check"), "text")
+    assert suffix.anchored(keyed).count() <= 1000
+
+
+def test_hot_minimizer(spark, monkeypatch):
+    """One passage in many contexts: its minimizer is dealt over many shards."""
+    monkeypatch.setattr(suffix, "SHARD_TEXTS", 8)
+    rng = random.Random(30)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, side = text(500), text(150)
+    rows = [(i, text(rng.randint(0, 300)) + (side if i % 3 == 0 else "") + passage + (side if i % 5 == 0 else "") + text(rng.randint(0, 300)), "en", "s", 0) for i in range(120)]
+    rows += [(None, rows[0][1], "en", "s", 0)] * 3 + [(7, rows[7][1], "en", "s", 0)]
+    found = suffix.strip_documents(docs_of(spark, rows)).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute_cut(rows)
+
+
+def test_fingerprints_decide_nothing(spark):
+    """Strings of one fingerprint that differ are told apart by their bytes."""
+    x, y = b"q" * 200 + b"r" * 300, b"q" * 200 + b"r" * 250 + b"s" * 50
+    assert suffix.same_strings(x, y, np.array([0, 10, 50, 51, 100]), 0).tolist() == [True, True, True, False, False]
+    assert suffix.same_strings(b"--" + x, y, np.array([2, 52, 53]), 2).tolist() == [True, True, False]
+    z = b"t" * 500
+    columns = "gram long, digest binary, first int, last int, slices int, text binary, starts array<int>, prints array<long>"
+    rows = [(1, b"x", 0, 0, 2, x, [0, 80, 90], [5, 6, 7]), (1, b"y", 0, 0, 2, y, [0, 80, 90], [5, 6, 8]), (1, b"z", 0, 0, 2, z, [0, 3], [5, 6]), (1, b"zz", 0, 0, 2, z, [1, 7], [5, 9]), (2, b"x", 0, 0, 2, x, [0], [5]), (1, b"u", 4, 9, None, None, None, None)]
+    told = {tuple(r) for r in suffix.merged(spark.createDataFrame(rows, columns)).collect()}
+    assert {(g, bytes(d), a, b) for g, d, a, b in told} == {(1, b"x", 0, 0), (1, b"y", 0, 0), (1, b"z", 0, 0), (1, b"z", 3, 3), (1, b"zz", 1, 1)}
+
+
 def test_long_texts_come_in_pieces():
     rng = np.random.default_rng(23)
     data = rng.integers(97, 100, 5000).astype(np.uint8)
