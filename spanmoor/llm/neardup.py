@@ -1,6 +1,6 @@
 """Near-duplicate groups by SuperMinHash, banding, verification and union-find.
 
-Texts with equal shingle sets are one class. Classes that share a band are
+Texts with equal shingle sets, by 128 bits of fingerprint, are one class. Classes that share a band are
 candidates. In each bucket all classes are first compared with one hub, the
 least id, on full sets. Buckets whose classes those links leave in more than one
 component are then searched across components: every pair is held against an
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, WORD, materialize, mix64, shingle_hashes, slices, text_buffers, word_hashes
+from .common import SLICE, WORD, free_name, materialize, mix64, shingle_hashes, slices, text_buffers, word_hashes
 from .minhash import PERCENT, ROWS, band_keys, bands_for, distinct_elements, signatures
 
 WORDS = 5
@@ -36,11 +36,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return distinct_elements(*shingle_hashes(*word_hashes(data, offsets), WORDS))
 
 
-def class_ids(elements: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
-    """A 64-bit fingerprint of each set."""
-    total = np.zeros(sets, np.uint64)
-    np.add.at(total, owner, mix64(elements ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-    return mix64(total + np.bincount(owner, minlength=sets).astype(np.uint64)).view(np.int64)
+def class_ids(elements: np.ndarray, owner: np.ndarray, sets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit fingerprints of each set: its class, and a check."""
+    out = []
+    for salt in (0xA5A5A5A5A5A5A5A5, 0x3C6EF372FE94F82B):
+        total = np.zeros(sets, np.uint64)
+        np.add.at(total, owner, mix64(elements ^ np.uint64(salt)))
+        out.append(mix64(total + np.bincount(owner, minlength=sets).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
 def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -48,19 +51,40 @@ def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, bands: int) -> DataFrame:
-    """(doc_id, n, cls, keys): size of the text's set, its class, its bands."""
+    """(doc_id, print, n, cls, check, keys): a hash of the text, the size of its
+    set, its class, its bands."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
+            data, offsets = text_buffers(batch.column(2))
             for a, b in slices(offsets, SLICE):
                 s, of = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 n = np.bincount(of, minlength=b - a)
                 keys = band_keys(signatures(s, of, b - a, bands * ROWS), bands)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(n), pa.array(class_ids(s, of, b - a)), _lists(keys.ravel(), np.full(b - a, keys.shape[1]))], names=["doc_id", "n", "cls", "keys"])
+                cls, check = class_ids(s, of, b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n), pa.array(cls), pa.array(check), _lists(keys.ravel(), np.full(b - a, keys.shape[1]))], names=["doc_id", "print", "n", "cls", "check", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, cls long, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("print"), "text").mapInArrow(run, f"doc_id {kind}, print long, n long, cls long, check long, keys array<long>")
+
+
+def classes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): a row for each class with its least id, a row that holds
+    its text (id and hash), its set's size and check. Counted before they are
+    shuffled, so that a hot class is a row a task. Sets that share a class and
+    not the check, one in some 2**64 pairs, get classes of their own first."""
+
+    def counted(rows: DataFrame) -> DataFrame:
+        least, most = F.min("check").alias("check"), F.max("check").alias("_most")
+        return materialize(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("_low"), F.min(F.struct("doc_id", "print")).alias("_at"), least, most))
+
+    classes = counted(rows)
+    odd = classes.where("check <> _most").select(F.col("cls").alias("_odd"))
+    if not odd.isEmpty():
+        own = F.when(F.col("_odd").isNotNull(), F.xxhash64("cls", "check")).otherwise(F.col("cls"))
+        rows = materialize(rows.join(odd, F.col("cls") == F.col("_odd"), "left").withColumn("cls", own).drop("_odd"))
+        classes = counted(rows)
+    return rows, classes
 
 
 def bit_map(elements: np.ndarray) -> bytes:
@@ -71,16 +95,20 @@ def bit_map(elements: np.ndarray) -> bytes:
 
 
 def full_sets(rows: DataFrame, bands: int) -> DataFrame:
-    """(text, wanted) -> (cls, elements, bits, keys), where a text is of the class wanted."""
+    """(text, cls, check) -> (cls, elements, bits, keys), once a task for a class,
+    however many rows repeat its id and text."""
 
     def run(batches):
+        done: set[int] = set()
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
-            wanted = batch.column(1).to_numpy()
+            cls, check = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            fresh = np.array([c not in done and not done.add(c) for c in cls.tolist()], bool)
             for a, b in slices(offsets, SLICE):
+                if not fresh[a:b].any():
+                    continue
                 s, of = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                found = class_ids(s, of, b - a)
-                right = np.flatnonzero(found == wanted[a:b])
+                right = np.flatnonzero((class_ids(s, of, b - a)[1] == check[a:b]) & fresh[a:b])
                 cut = np.searchsorted(of, np.arange(b - a + 1))
                 parts = [s[cut[i] : cut[i + 1]] for i in right]
                 n = np.array([len(p) for p in parts], np.int64)
@@ -88,7 +116,7 @@ def full_sets(rows: DataFrame, bands: int) -> DataFrame:
                     continue
                 s = np.concatenate(parts)
                 keys = band_keys(signatures(s, np.repeat(np.arange(len(right)), n), len(right), bands * ROWS), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(found[right]), _lists(s, n), pa.array([bit_map(p) for p in parts], pa.binary()), _lists(keys.ravel(), np.full(len(right), keys.shape[1]))], names=["cls", "elements", "bits", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(cls[a:b][right]), _lists(s, n), pa.array([bit_map(p) for p in parts], pa.binary()), _lists(keys.ravel(), np.full(len(right), keys.shape[1]))], names=["cls", "elements", "bits", "keys"])
 
     return rows.mapInArrow(run, "cls long, elements array<long>, bits binary, keys array<long>")
 
@@ -230,24 +258,27 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, percent: int = PERCENT, largest: int = LARGEST) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, cls, root (the component's least
-    class, null without words) for every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, cls, check, root (the component's
+    least class, null without words) for every row of ``docs``.
 
     Texts without words, null ones too, are linked with nothing and are their
     own component. Rows that repeat an id and a text share a component, and
     each says the same; a null id is a component's only if no other is in it.
+    Other columns of ``docs``, whatever their names, are not read; texts of any
+    length are read whole.
     """
     bands = bands_for(percent)
-    rows = materialize(fingerprints(docs, bands))
+    rows, classes = classes_of(materialize(fingerprints(docs, bands)))
     some = rows.where("n > 0")
     banded = some.select("cls", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("_last")).where("hub < _last").select("key", "hub")
     members = materialize(banded.join(buckets, "key").select("key", "hub", "cls").distinct())
     pairs = members.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     wanted = members.select("cls").distinct()
-    texts = some.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("_id"), F.first("n").alias("_n")).select("_id", "cls")
-    fetched = docs.select("doc_id", "text").join(texts.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = materialize(full_sets(fetched.select("text", "cls"), bands))
+    texts = classes.join(wanted, "cls").select(F.col("_at.doc_id").alias("_id"), F.col("_at.print").alias("_print"), "cls", "check")
+    fetched = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    fetched = fetched.join(texts.hint("shuffle_hash"), (F.col("print") == F.col("_print")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    sets = materialize(full_sets(fetched.select("text", "cls", "check"), bands))
     links = materialize(verified(pairs, sets, percent))
     labels = components(links)
     # What the hubs have not settled.
@@ -264,13 +295,13 @@ def groups(docs: DataFrame, percent: int = PERCENT, largest: int = LARGEST) -> D
     more = rest.groupBy("bucket", "x", "y").applyInPandas(lambda pdf: possible_links(pdf, percent), "a long, b long")
     more = verified(more, sets, percent)
     labels = components(links.unionAll(more))
-    lows = some.groupBy("cls").agg(F.min("doc_id").alias("_low")).join(labels, F.col("cls") == F.col("node"), "left").select("cls", "_low", F.coalesce("label", "cls").alias("_root"))
+    lows = classes.select("cls", "_low").join(labels, F.col("cls") == F.col("node"), "left").select("cls", "_low", F.coalesce("label", "cls").alias("_root"))
     lows = materialize(lows)
     least = lows.groupBy("_root").agg(F.min("_low").alias("_id"))
     named = lows.join(least, "_root").select(F.col("cls").alias("_cls"), F.col("_id"), F.col("_root"))
     out = rows.join(named, (F.col("cls") == F.col("_cls")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "cls", F.col("_root").alias("root"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "cls", "check", F.col("_root").alias("root"))
 
 
 def group_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -278,11 +309,11 @@ def group_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def class_of(text: pa.Array) -> pa.Array:
-    """The class of each text, as in fingerprints()."""
+    """The check of each text's class, as in fingerprints()."""
     data, offsets = text_buffers(text)
     out = np.zeros(len(text), np.int64)
     for a, b in slices(offsets, SLICE):
-        out[a:b] = class_ids(*shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a)
+        out[a:b] = class_ids(*shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), b - a)[1]
     return pa.array(out)
 
 
@@ -302,11 +333,12 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
     blank = again.where(~worded).dropDuplicates(["doc_id", "text"])
     # The rows that stand for a group have one id, that of the group.
-    stand = every.where("kept and n_shingles > 0").groupBy("root").agg(F.first("doc_id").alias("_id"), F.min("cls").alias("_stands"))
-    stand = materialize(stand.join(some.select(F.col("_id").alias("_some")), F.col("_id").eqNullSafe(F.col("_some")), "left_semi").select("_id", "_stands"))
-    told = again.where(worded).withColumn("__class", F.arrow_udf(class_of, "long")(F.col("text")))
-    told = told.join(stand, told["doc_id"].eqNullSafe(stand["_id"]) & (told["__class"] == stand["_stands"]), "left_semi")
-    told = told.dropDuplicates(["doc_id", "__class"]).drop("__class")
+    stand = every.where("kept and n_shingles > 0").groupBy("root").agg(F.first("doc_id").alias("_id"), F.min(F.struct("cls", "check")).alias("_stands"))
+    stand = materialize(stand.join(some.select(F.col("_id").alias("_some")), F.col("_id").eqNullSafe(F.col("_some")), "left_semi").select("_id", F.col("_stands.check").alias("_stands")))
+    name = free_name("class", docs.columns)
+    told = again.where(worded).withColumn(name, F.arrow_udf(class_of, "long")(F.col("text")))
+    told = told.join(stand, told["doc_id"].eqNullSafe(stand["_id"]) & (told[name] == stand["_stands"]), "left_semi")
+    told = told.dropDuplicates(["doc_id", name]).drop(name)
     return once.unionByName(blank).unionByName(told)
 
 
