@@ -1,13 +1,18 @@
 """Sentences and chunks of a text, as column expressions.
 
-Each token becomes one letter of a class string; sentence bounds are then a
-matter of regular expressions over that string, in one linear pass each.
+Each token becomes one letter of a class string. Sentence bounds and chunks are
+found in those letters and in the sentences' lengths, whole batches at a time and
+in linear time; texts and tokens stay on the JVM.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tokens import is_space, token_texts
 
@@ -17,11 +22,15 @@ ENDERS = (".", "!", "?")
 CLOSERS = ('"', "'", ")", "]", "}", "»", "”", "’")
 
 
+#: Characters of which each is a cluster of its own beside any of the others:
+#: Latin, Greek, Cyrillic and Armenian letters, punctuation, kana, ideographs.
+_SINGLE = r"\A[\t\n -\x{2FF}\x{370}-\x{482}\x{48A}-\x{58F}\x{1E00}-\x{1FFF}\x{2010}-\x{2027}\x{2030}-\x{205E}\x{20A0}-\x{20BF}\x{3000}-\x{3029}\x{3041}-\x{3096}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}]*+\z"
+
+
 def graphemes(text: Column) -> Column:
-    """Length in extended grapheme clusters. ASCII texts without a carriage
-    return have one a character, which spares most texts the slow search."""
-    plain = (F.octet_length(text) == F.length(text)) & ~text.contains("\r")
-    return F.when(plain, F.length(text)).otherwise(F.regexp_count(text, F.lit(r"\X")))
+    """Length in extended grapheme clusters. Texts of single characters alone
+    have one each, which spares most texts the slow search."""
+    return F.when(F.rlike(text, F.lit(_SINGLE)), F.length(text)).otherwise(F.regexp_count(text, F.lit(r"\X")))
 
 
 def class_string(parts: Column) -> Column:
@@ -32,7 +41,8 @@ def class_string(parts: Column) -> Column:
         first = F.left(token, F.lit(1))
         before = F.get(parts, i - 1)
         return (
-            F.when(token.isin(*ENDERS), F.when((i > 0) & before.isin(*ABBREVIATIONS), "x").otherwise("E"))
+            F.when((token == " ") | first.between("a", "z"), "x")  # most tokens
+            .when(token.isin(*ENDERS), F.when((i > 0) & before.isin(*ABBREVIATIONS), "x").otherwise("E"))
             .when(token.isin(*CLOSERS), "C")
             .when(is_space(token), F.when(token.contains("\n"), "N").otherwise("x"))
             .when((F.upper(first) == first) & (F.lower(first) != first) & F.rlike(first, F.lit(r"^\p{L}")), "U")
@@ -42,50 +52,85 @@ def class_string(parts: Column) -> Column:
     return F.array_join(F.transform(parts, letter), "")
 
 
-def sentence_sizes(classes: Column) -> Column:
-    """Number of tokens in each sentence."""
-    cut = F.regexp_replace(F.regexp_replace(classes, "EC*", "$0|"), r"N(?=U)", "|N")
-    return F.transform(F.filter(F.split(cut, r"\|"), lambda p: p != ""), lambda p: F.length(p))
-
-
-def starts_of(sizes: Column) -> Column:
-    """Running sums of an array<int> before each entry. The fold copies its array
-    at each step, so it is for arrays of sentences or chunks, not of tokens."""
-    empty = F.array().cast("array<int>")
-    folded = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), empty.alias("all")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
-    )
-    return folded["all"]
-
-
-def sentences_from(parts: Column, sizes: Column) -> Column:
+def _ints(*names: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in names]))
+
+
+@F.arrow_udf(_ints("at", "n"))
+def sentence_bounds(classes: pa.Array) -> pa.Array:
+    """First token and number of tokens of each sentence. One begins after an E
+    and the Cs that follow it, and at an N before a U; null has none."""
+    text = pc.cast(pc.fill_null(classes, ""), pa.large_string())
+    _, offsets, data = text.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    letters = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    n = len(letters)
+    end = np.repeat(offsets[1:], np.diff(offsets))  # of the letter's own text
+    other = np.where(letters != ord("C"), np.arange(n), n)
+    past = np.append(np.minimum.accumulate(other[::-1])[::-1], n)  # the first letter from here on that is no C
+    full = np.flatnonzero(letters == ord("E"))
+    line = np.flatnonzero((letters[:-1] == ord("N")) & (letters[1:] == ord("U")))
+    begins = np.zeros(n + 1, bool)
+    begins[np.minimum(past[full + 1], end[full])] = True
+    begins[line[line + 1 < end[line]]] = True
+    begins[offsets[:-1]] = True
+    starts = np.flatnonzero(begins[:n])
+    cuts = np.searchsorted(starts, offsets)
+    of = np.repeat(offsets[:-1], np.diff(cuts))
+    bounds = pa.StructArray.from_arrays([pa.array((starts - of).astype(np.int32)), pa.array(np.diff(np.append(starts, n)).astype(np.int32))], names=["at", "n"])
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), bounds)
+
+
+def _flat(arrays: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, where each array's begin) of array<int>; nulls are empty."""
+    counts = pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)
+    numbers = pc.fill_null(arrays.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return numbers, np.concatenate([[0], np.cumsum(counts)])
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def starts_of(sizes: pa.Array) -> pa.Array:
+    """Running sums of each array<int> before each entry."""
+    numbers, cuts = _flat(sizes)
+    before = np.cumsum(numbers) - numbers
+    base = np.append(before, 0)[cuts[:-1]]
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array((before - np.repeat(base, np.diff(cuts))).astype(np.int32)))
+
+
+def sentences_from(parts: Column, bounds: Column) -> Column:
     """The sentences, which joined give the text back."""
-    bounds = F.arrays_zip(starts_of(sizes).alias("at"), sizes.alias("n"))
     return F.transform(bounds, lambda b: F.array_join(F.slice(parts, b["at"] + 1, b["n"]), ""))
 
 
-def pack(lengths: Column, most: int) -> Column:
-    """array<struct<first, n>>: sentences by number, packed in order while a
-    chunk's length stays within ``most``; a longer sentence stands alone."""
-    none = F.array().cast("array<struct<first:int,n:int>>")
-    start = F.struct(none.alias("done"), F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(0).alias("length"))
-
-    def step(acc: Column, length: Column) -> Column:
-        fits = (acc["n"] == 0) | (acc["length"] + length <= most)
-        full = F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["n"].alias("n"))))
-        return F.struct(
-            F.when(fits, acc["done"]).otherwise(full).alias("done"),
-            F.when(fits, acc["first"]).otherwise(acc["first"] + acc["n"]).alias("first"),
-            F.when(fits, acc["n"] + 1).otherwise(F.lit(1)).alias("n"),
-            F.when(fits, acc["length"] + length).otherwise(length).alias("length"),
-        )
-
-    def end(acc: Column) -> Column:
-        return F.when(acc["n"] == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), acc["n"].alias("n")))))
-
-    return F.aggregate(lengths, start, step, end)
-
-
-__all__ = ["ABBREVIATIONS", "CLOSERS", "ENDERS", "class_string", "graphemes", "pack", "sentence_sizes", "sentences_from", "starts_of", "token_texts"]
+def pack(lengths: Column, sizes: Column, most: int) -> Column:
+    """array<struct<first, n, at>>: sentences by number, packed in order while a
+    chunk's length stays within ``most``; a longer sentence stands alone. ``at``
+    is the sum of the sizes before the chunk."""
+
+    @F.arrow_udf(_ints("first", "n", "at"))
+    def packed(lengths: pa.Array, sizes: pa.Array) -> pa.Array:
+        numbers, cuts = _flat(lengths)
+        upto = np.cumsum(numbers)
+        first, n, ends = [], [], [0]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            i = a
+            while i < b:
+                room = most + (upto[i - 1] if i else 0)
+                j = max(i + 1, i + int(np.searchsorted(upto[i:b], room, side="right")))
+                first.append(i)
+                n.append(j - i)
+                i = j
+            ends.append(len(first))
+        first, ends = np.array(first, np.int64), np.array(ends)
+        base = np.repeat(cuts[:-1], np.diff(ends))
+        size, _ = _flat(sizes)
+        before = np.append(np.cumsum(size) - size, 0)
+        columns = (first - base, np.array(n, np.int64), before[first] - before[base])
+        chunks = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names=["first", "n", "at"])
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), chunks)
+
+    return packed(lengths, sizes)
+
+
+__all__ = ["ABBREVIATIONS", "CLOSERS", "ENDERS", "class_string", "graphemes", "pack", "sentence_bounds", "sentences_from", "starts_of", "token_texts"]

@@ -23,9 +23,11 @@ def tokens(df: DataFrame, text: str = "text") -> DataFrame:
 
 def _sentence_arrays(df: DataFrame, text: str) -> DataFrame:
     rows = df.withColumn("_parts", token_texts(F.col(text)))
-    rows = rows.withColumn("_sizes", C.sentence_sizes(C.class_string(F.col("_parts"))))
-    rows = rows.withColumn("_sentences", F.when(F.size("_parts") > 0, C.sentences_from(F.col("_parts"), F.col("_sizes"))).otherwise(F.array().cast("array<string>")))
-    return rows.drop("_parts", "_sizes")
+    rows = rows.withColumn("_bounds", C.sentence_bounds(C.class_string(F.col("_parts"))))
+    rows = rows.withColumn("_made", C.sentences_from(F.col("_parts"), F.col("_bounds")))
+    # An explode of one: what is above reads the sentences, instead of having them
+    # made again for each use.
+    return rows.select(*[c for c in df.columns if c != text], F.explode(F.array("_made")).alias("_sentences"))
 
 
 def sentences(df: DataFrame, text: str = "text") -> DataFrame:
@@ -45,9 +47,9 @@ def chunks(df: DataFrame, text: str = "text", max_chunk_chars: int = MAX_CHUNK_C
         raise ValueError("max_chunk_chars must be positive")
     keep = [c for c in df.columns if c != text]
     rows = _sentence_arrays(df, text)
-    rows = rows.withColumn("_packed", C.pack(F.transform("_sentences", lambda s: C.graphemes(s)), max_chunk_chars))
+    lengths, sizes = F.transform("_sentences", lambda s: C.graphemes(s)), F.transform("_sentences", lambda s: F.octet_length(s))
+    rows = rows.withColumn("_packed", C.pack(lengths, sizes, max_chunk_chars))
     rows = rows.withColumn("_chunks", F.transform("_packed", lambda p: F.array_join(F.slice("_sentences", p["first"] + 1, p["n"]), "")))
-    rows = rows.withColumn("_at", C.starts_of(F.transform("_chunks", lambda s: F.octet_length(s))))
-    numbered = F.transform("_chunks", lambda c, i: F.struct(c.alias("text"), F.get("_chunks", i - 1).alias("previous"), F.get("_at", i).alias("at")))
+    numbered = F.transform("_chunks", lambda c, i: F.struct(c.alias("text"), F.get("_chunks", i - 1).alias("previous"), F.get("_packed", i)["at"].alias("at")))
     rows = rows.select(*keep, F.posexplode(numbered).alias("chunk_idx", "_c"))
     return rows.select(*keep, "chunk_idx", F.col("_c.text").alias("chunk_text"), F.col("_c.at").alias("chunk_byte_start"), F.col("_c.previous").alias("previous_chunk"))

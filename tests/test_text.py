@@ -1,10 +1,14 @@
 """Tokens, sentences and chunks on small texts, and what holds for any text."""
 
+import random
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from spanmoor.functions import chunks as C
 from spanmoor.functions.tokens import char_to_byte, tokenize
 from spanmoor.operators.text import chunks, sentences, tokens
 
@@ -84,6 +88,58 @@ def test_chunks(spark, text, most, starts):
     assert [r.previous_chunk for r in rows] == [None, *[r.chunk_text for r in rows]][: len(rows)]
 
 
+def by_folds(letters):
+    """Sentence sizes from the letters, one at a time."""
+    sizes, at, i = [], 0, 0
+    while i < len(letters):
+        if letters[i] == "N" and letters[i + 1 : i + 2] == "U" and i > at:
+            sizes.append(i - at)
+            at = i
+        if letters[i] == "E":
+            while letters[i + 1 : i + 2] == "C":
+                i += 1
+            sizes.append(i + 1 - at)
+            at = i + 1
+        i += 1
+    return sizes + [len(letters) - at] * (at < len(letters))
+
+
+def test_sentence_bounds(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ECNUxxx") for _ in range(rng.randint(0, 30))) for _ in range(2000)] + [None, "", "E", "C", "NU", "N", "U"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, c string").coalesce(2)
+    for r in df.select("k", C.sentence_bounds(F.col("c")).alias("b")).collect():
+        assert [b.n for b in r.b] == by_folds(texts[r.k] or "")
+        assert [b.at for b in r.b] == [sum(b.n for b in r.b[:i]) for i in range(len(r.b))]
+
+
+def test_pack(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.randint(1, 12) for _ in range(rng.randint(0, 20))]) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, n array<int>")
+    for r in df.select("k", "n", C.pack(F.col("n"), F.transform("n", lambda x: 2 * x), 15).alias("p"), C.starts_of(F.col("n")).alias("s")).collect():
+        told, i = [], 0
+        while i < len(r.n):
+            j = i + 1
+            while j < len(r.n) and sum(r.n[i : j + 1]) <= 15:
+                j += 1
+            told.append((i, j - i, 2 * sum(r.n[:i])))
+            i = j
+        assert [tuple(p) for p in r.p] == told and r.s == [sum(r.n[:i]) for i in range(len(r.n))]
+
+
+def test_long_text_in_linear_time(spark):
+    """One text of 1 MB: sentences and chunks take seconds, not minutes."""
+    text = "He went on to the next one. " * 36_000
+    df = frame(spark, text)
+    tokens(df).count()
+    began = time.time()
+    assert sentences(df).count() == 36_001
+    rows = chunks(df).select(F.count("*"), F.sum(F.octet_length("chunk_text")), F.max("chunk_byte_start")).first()
+    assert rows[0] == 1029 and rows[1] == len(text) and rows[2] == 979 + 1027 * 980
+    assert time.time() - began < 40
+
+
 def test_chunks_reject_size(spark):
     with pytest.raises(ValueError, match="positive"):
         chunks(frame(spark, "a"), max_chunk_chars=0)
