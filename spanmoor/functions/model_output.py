@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import yaml_text
+
 ENTRY = T.StructType([T.StructField(c, T.StringType()) for c in ("class", "text", "attributes")])
 _PARSED = T.StructType([T.StructField("error", T.StringType()), T.StructField("dropped", T.IntegerType()), T.StructField("entries", T.ArrayType(ENTRY))])
 #: White space at the ends, thoughts, the first fenced block.
@@ -29,11 +31,12 @@ def strip_fences(content: Column) -> Column:
 
 
 def _yaml_loader():
-    """A loader with YAML's core schema: no dates, no sexagesimals, no yes/no."""
+    """A loader with YAML's core schema: no dates, no sexagesimals, no yes/no.
+    Without PyYAML, a reader of our own, which knows no anchors and no tags."""
     try:
         import yaml
-    except ImportError:  # JSON alone is read
-        return None
+    except ImportError:
+        return yaml_text.load
     import re
 
     class Core(yaml.SafeLoader):
@@ -69,8 +72,6 @@ def decode(content: str) -> Any:
         pass
     if not _LOADER:
         _LOADER.append(_yaml_loader())
-    if _LOADER[0] is None:
-        raise ValueError("not JSON, and no YAML reader is installed")
     try:
         return _LOADER[0](content)
     except Exception as e:
@@ -141,6 +142,25 @@ def _parsed(content: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("error", pa.string()), ("dropped", pa.int32()), ("entries", pa.list_(kind))]))
 
 
+@F.arrow_udf(_PARSED)
+def parse_decoded(content: pa.Array) -> pa.Array:
+    """As ``parse``, of a map that is decoded and normalised already, as JSON. One
+    without a list of extractions is ``missing_extractions``."""
+    kind = pa.struct([("class", pa.string()), ("text", pa.string()), ("attributes", pa.string())])
+    out = []
+    for v in content:
+        try:
+            value = json.loads(v.as_py() or "null")
+        except ValueError:
+            value = None
+        if isinstance(value, dict) and isinstance(value.get("extractions"), list):
+            entries = parse_entries(value)
+            out.append({"error": None, "dropped": len(value["extractions"]) - len(entries), "entries": entries})
+        else:
+            out.append({"error": "missing_extractions", "dropped": 0, "entries": []})
+    return pa.array(out, pa.struct([("error", pa.string()), ("dropped", pa.int32()), ("entries", pa.list_(kind))]))
+
+
 def normalize(raw: Column) -> Column:
     """The normalised map as JSON, or null for an invalid format."""
     return _normalized(strip_fences(strip_think(raw)))

@@ -62,7 +62,10 @@ def best_window(source: list[str], wanted: list[str]) -> tuple[float, int]:
     return most / n, at
 
 
-@F.arrow_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("at", T.IntegerType())]))
+_BEST = T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("at", T.IntegerType())])
+
+
+@F.arrow_udf(_BEST)
 def fuzzy_by_counter(source: pa.Array, wanted: pa.Array) -> pa.Array:
     """As fuzzy_by_windows, in time linear in the source. Rows with a null pass."""
     out = []
@@ -73,3 +76,18 @@ def fuzzy_by_counter(source: pa.Array, wanted: pa.Array) -> pa.Array:
             ratio, at = best_window(s.as_py(), w.as_py())
             out.append({"ratio": ratio, "at": at})
     return pa.array(out, pa.struct([("ratio", pa.float64()), ("at", pa.int32())]))
+
+
+@F.arrow_udf(T.ArrayType(_BEST))
+def fuzzy_many(source: pa.Array, wanted: pa.Array) -> pa.Array:
+    """As fuzzy_by_counter, for all the strings of a source, which comes once.
+    Null sources and strings pass."""
+    out = []
+    for s, ws in zip(source, wanted):
+        if not s.is_valid or not ws.is_valid:
+            out.append(None)
+            continue
+        tokens = s.as_py()
+        found = [None if w is None else best_window(tokens, w) for w in ws.as_py()]
+        out.append([None if f is None else {"ratio": f[0], "at": f[1]} for f in found])
+    return pa.array(out, pa.list_(pa.struct([("ratio", pa.float64()), ("at", pa.int32())])))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import exact_at, fuzzy_by_counter, fuzzy_by_windows, overlap_bound
+from ..functions.spans import exact_at, fuzzy_by_counter, fuzzy_by_windows, fuzzy_many, overlap_bound
 from ..functions.tokens import byte_at, match_places, match_tokens, token_texts
 
 FUZZY_THRESHOLD = 0.75
@@ -21,6 +21,47 @@ def prepare(df: DataFrame, source: str = "text", to: str = "_source") -> DataFra
     return rows.withColumn("_made", made).select(*[df[c] for c in df.columns], F.explode(F.array("_made")).alias(to))
 
 
+def _check(threshold: float, strategy: str) -> None:
+    if not 0 < threshold:
+        raise ValueError("fuzzy_threshold must be positive")
+    if strategy not in ("windows", "counter"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+
+
+def align_many(df: DataFrame, wanted: str, threshold: float = FUZZY_THRESHOLD, source: str = "_source", strategy: str = "counter", to: str = "_found") -> DataFrame:
+    """As align_prepared, for ``wanted``, an array of strings: adds an array of
+    struct<byte_start, byte_end, status>, and drops ``source``, which is neither
+    copied nor sent to Python for each of its strings."""
+    _check(threshold, strategy)
+    tokens, parts, places = (F.col(f"{source}.{c}") for c in ("tokens", "parts", "places"))
+    rows = df.withColumn("_wanted", F.transform(wanted, lambda t: match_tokens(token_texts(t))))
+    rows = rows.withColumn("_exact", F.transform("_wanted", lambda w: exact_at(tokens, w)))
+
+    def open_(w: Column, i: Column) -> Column:
+        n = F.size(w)
+        return F.when(F.get("_exact", i).isNull() & (n > 0) & (F.size(tokens) >= n) & (overlap_bound(tokens, w) >= threshold), w)
+
+    rows = rows.withColumn("_open", F.transform("_wanted", open_))
+    if strategy == "windows":
+        best = F.transform("_open", lambda w: F.when(w.isNotNull(), fuzzy_by_windows(tokens, w)))
+    else:
+        best = fuzzy_many(F.when(F.exists("_open", lambda w: w.isNotNull()), tokens), F.col("_open"))
+    rows = rows.withColumn("_best", best)
+
+    def found(w: Column, i: Column) -> Column:
+        exact, fuzzy = F.get("_exact", i), F.get("_best", i)
+        place = F.coalesce(exact, F.when(fuzzy["ratio"] >= threshold, fuzzy["at"]))
+        return F.struct(
+            byte_at(parts, F.get(places, place)).alias("byte_start"),
+            (byte_at(parts, F.get(places, place + F.size(w) - 1) + 1)).alias("byte_end"),
+            F.when(exact.isNotNull(), "exact").when(place.isNotNull(), "fuzzy").otherwise("not_found").alias("status"),
+        )
+
+    rows = rows.withColumn("_result", F.transform("_wanted", found))
+    # The explode of one: see align_prepared.
+    return rows.select(*[df[c] for c in df.columns if c != source], F.explode(F.array("_result")).alias(to))
+
+
 def align_prepared(df: DataFrame, wanted: str, threshold: float = FUZZY_THRESHOLD, source: str = "_source", strategy: str = "counter") -> DataFrame:
     """Adds byte_start, byte_end (null if not found) and status: exact, fuzzy or
     not_found. ``strategy``: "windows" searches in SQL functions, for short
@@ -28,10 +69,7 @@ def align_prepared(df: DataFrame, wanted: str, threshold: float = FUZZY_THRESHOL
     only for strings that have no exact match and whose tokens could reach the
     threshold. Null strings and sources are not found. Thresholds must be
     positive."""
-    if not 0 < threshold:
-        raise ValueError("fuzzy_threshold must be positive")
-    if strategy not in ("windows", "counter"):
-        raise ValueError(f"unknown strategy {strategy!r}")
+    _check(threshold, strategy)
     tokens = F.col(f"{source}.tokens")
     rows = df.withColumn("_wanted", match_tokens(token_texts(F.col(wanted))))
     rows = rows.withColumn("_exact", exact_at(tokens, F.col("_wanted")))
@@ -62,8 +100,10 @@ def align(df: DataFrame, source: str = "text", wanted: str = "ext_text", thresho
     array of strings (then a row for each, with ext_idx), in ``source``."""
     rows = prepare(df, source)
     if dict(df.dtypes)[wanted].startswith("array"):
-        keep = [c for c in rows.columns if c != wanted]
-        rows = rows.select(*keep, F.posexplode(wanted).alias("ext_idx", wanted))
+        keep = [c for c in df.columns if c != wanted]
+        rows = align_many(rows, wanted, threshold, strategy=strategy)
+        rows = rows.select(*keep, F.posexplode(F.arrays_zip(F.col(wanted).alias("text"), F.col("_found").alias("found"))).alias("ext_idx", "_s"))
+        return rows.select(*keep, "ext_idx", F.col("_s.text").alias(wanted), "_s.found.*")
     return align_prepared(rows, wanted, threshold, strategy=strategy).drop("_source")
 
 
