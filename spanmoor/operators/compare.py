@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict, deque
+from datetime import datetime, timezone
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -24,21 +27,31 @@ def map_status(status: Column) -> Column:
 
 
 def pair_texts(left: list[str], right: list[str], least: float = SIMILARITY) -> list[tuple[int, int, float]]:
-    """(left, right, ratio): each left text, in order, takes an equal right text
-    that is still free, else the most similar one if similar enough."""
-    free, out = list(range(len(right))), []
+    """(left, right, ratio): the left texts choose in order. Equal texts come
+    first, the foremost of those left; who finds none takes the most similar of
+    the rest, the foremost at a tie, if its ratio reaches ``least``."""
+    places: dict[str, deque[int]] = defaultdict(deque)
+    for j, text in enumerate(right):
+        places[text].append(j)
+    matchers = {text: SequenceMatcher(None, "", text) for text in places}  # each indexes its text once
+
+    def likeness(text: str, other: str, floor: float) -> float:
+        m = matchers[other]
+        m.set_seq1(text)
+        return m.ratio() if min(m.real_quick_ratio(), m.quick_ratio()) >= floor else -1.0
+
+    def nearest(text: str) -> tuple[float, str | None]:
+        floor, best = least, (-1.0, 0, None)
+        for other, free in places.items():
+            if free and (r := likeness(text, other, floor)) >= floor:
+                floor, best = r, max(best, (r, -free[0], other), key=lambda x: x[:2])
+        return best[0], best[2]
+
+    out = []
     for i, text in enumerate(left):
-        best, ratio = -1, 0.0
-        for j in free:
-            if right[j] == text:
-                best, ratio = j, 1.0
-                break
-            r = SequenceMatcher(None, text, right[j]).ratio()
-            if r > ratio:
-                best, ratio = j, r
-        if best >= 0 and ratio >= least:
-            free.remove(best)
-            out.append((i, best, ratio))
+        ratio, other = (1.0, text) if places.get(text) else nearest(text)
+        if other is not None:
+            out.append((i, places[other].popleft(), ratio))
     return out
 
 
@@ -90,8 +103,15 @@ def summary(pairs: DataFrame, totals: DataFrame) -> DataFrame:
 
 def pair_records(left: DataFrame, right: DataFrame) -> DataFrame:
     """Records of both sides by source: ``state`` tells whether they can be
-    compared (both), or which side has an error (the left's first) or none."""
-    last = lambda df, side: df.groupBy("source").agg(F.last(F.struct(*[c for c in df.columns if c != "source"])).alias(side))
+    compared (both), or which side has an error (the left's first) or none. Of
+    several records of a source the last counts, by their ``place`` (file and
+    line) if they have one, else the greatest by its columns."""
+
+    def last(df: DataFrame, side: str) -> DataFrame:
+        record = F.struct(*[c for c in df.columns if c not in ("source", "place")])
+        pick = F.max_by(record, "place") if "place" in df.columns else F.max(record)
+        return df.groupBy("source").agg(pick.alias(side))
+
     rows = last(left, "left").join(last(right, "right"), "source", "full_outer")
     state = (
         F.when(F.col("left").isNull(), "left_missing")
@@ -114,3 +134,38 @@ def report(left: DataFrame, right: DataFrame, least: float = SIMILARITY) -> tupl
     both = pair_records(left, right)
     totals = both.where("state = 'both'").select("source", F.size("left.extractions").alias("left_total"), F.size("right.extractions").alias("right_total"))
     return summary(match(entries(both, "left"), entries(both, "right"), least), totals), both.select("source", "state")
+
+
+def task_summary(left: DataFrame, right: DataFrame, task: str, least: float = SIMILARITY) -> DataFrame:
+    """One row for a task: documents, errors of each side, entries, matches and
+    agreement over all documents that can be compared, mean times of these in
+    milliseconds, and ``per_document``, the counts of each in order of source."""
+    both = pair_records(left, right)
+    fine = both.where("state = 'both'")
+    totals = fine.select("source", F.size("left.extractions").alias("left_total"), F.size("right.extractions").alias("right_total"))
+    pairs = match(entries(both, "left"), entries(both, "right"), least)
+    broken = F.col("left.error").isNotNull()  # counts before the right one's
+    time = lambda side: F.coalesce(F.round(F.avg(F.when(F.col("state") == "both", F.col(f"{side}.timing.total_ms")))), F.lit(0)).cast("long").alias(f"{side}_ms")
+    head = both.agg(F.count("*").alias("documents"), F.count_if(broken).alias("left_errors"), F.count_if(~broken & F.col("right.error").isNotNull()).alias("right_errors"), time("left"), time("right"))
+    delta = F.abs(F.col("left_start") - F.col("right_start"))
+    percent = lambda c: F.coalesce(F.round(100 * F.avg(c.cast("int")), 1), F.lit(0.0))
+    agreed = pairs.agg(
+        percent(F.col("left_class") == F.col("right_class")).alias("class_agreement"),
+        F.coalesce(F.round(F.avg(delta), 1), F.lit(0.0)).alias("offset_mean"),
+        F.coalesce(F.max(delta), F.lit(0)).alias("offset_max"),
+        percent(F.col("left_status") == F.col("right_status")).alias("status_agreement"),
+    )
+    counts = summary(pairs, totals).select("source", "left_total", "right_total", "matched", "only_left", "only_right")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    documents = counts.agg(*[total(c) for c in counts.columns[1:]], F.array_sort(F.collect_list(F.struct(*counts.columns))).alias("per_document"))
+    rate = F.round(100 * F.col("matched") / F.greatest("left_total", "right_total", F.lit(1)), 1)
+    rows = head.crossJoin(agreed).crossJoin(documents)  # a row each
+    return rows.select(F.lit(task).alias("task"), "documents", "left_errors", "right_errors", "left_total", "right_total", "matched", "only_left", "only_right", rate.alias("match_rate"), "class_agreement", "offset_mean", "offset_max", "status_agreement", "left_ms", "right_ms", "per_document")
+
+
+def report_json(tasks: dict[str, tuple[DataFrame, DataFrame]], metadata: dict, least: float = SIMILARITY) -> str:
+    """A report of all tasks, in order of name, as JSON: ``metadata`` with the
+    time and threshold, and a summary for each task (its two sides' records)."""
+    told = [json.loads(task_summary(*tasks[t], t, least).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).first()[0]) for t in sorted(tasks)]
+    about = {"timestamp": datetime.now(timezone.utc).isoformat(), "match_threshold": least} | metadata
+    return json.dumps({"metadata": about, "tasks": told}, indent=2, ensure_ascii=False)

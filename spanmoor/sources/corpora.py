@@ -16,10 +16,13 @@ _END = (r"\*\*\* END OF THE PROJECT GUTENBERG EBOOK [^\n]+? \*\*\*", r"\*\*\* EN
 _TRIM = r"(?U)\A\s+|\s+\z"
 
 
-def read_text_folder(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """(slug, text): a row for each file, whole, slug being its base name."""
+def read_text_folder(spark: SparkSession, folder: str, pattern: str = "*.txt", ordered: bool = False) -> DataFrame:
+    """(slug, text): a row for each file, whole, slug being its base name. With
+    ``ordered``, rows come by file name, which takes a sort of all texts."""
     rows = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*\z", "").alias("slug"), F.col("value").alias("text"))
+    rows = rows.select(F.col("_metadata.file_name").alias("_file"), F.col("value").alias("text"))
+    rows = rows.orderBy("_file") if ordered else rows
+    return rows.select(F.regexp_replace("_file", r"\.[^.]*\z", "").alias("slug"), "text")
 
 
 def strip_boilerplate(text: Column) -> Column:
@@ -75,6 +78,8 @@ RECORD = "source string, task string, library string, extractions array<struct<c
 
 
 def load_results(spark: SparkSession, folder: str) -> DataFrame:
-    """All benchmark records of a folder, with the file's name."""
+    """All benchmark records of a folder, with the file's name and the record's
+    place: file, block and row in it, which order records as files and lines do."""
     rows = spark.read.schema(RECORD).json(folder)
-    return rows.withColumn("stem", F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*\z", ""))
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.withColumns({"stem": F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*\z", ""), "place": place})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,26 @@ def save_json_lines(documents: DataFrame, spans: DataFrame, path: str, doc_id: s
     lines.select("value").write.text(path)
 
 
+def save_json_file(documents: DataFrame, spans: DataFrame, path: str, doc_id: str = "doc_id") -> None:
+    """Writes one plain file at ``path``, in the order of ids; it is empty if
+    there are no documents, and must not exist yet."""
+    spark = documents.sparkSession
+    Path = spark._jvm.org.apache.hadoop.fs.Path  # Hadoop's, as the path may be one that only Spark can open
+    target, parts = Path(path), Path(f"{path}.parts-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    save_json_lines(documents, spans, parts.toString(), doc_id, single_file=True)
+    try:
+        found = files.globStatus(Path(parts, "part-*"))
+        if len(found):
+            files.rename(found[0].getPath(), target)
+        else:
+            files.create(target).close()
+    finally:
+        files.delete(parts, True)
+
+
 def load_json_lines(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(text, ext_idx, class, ext_text, byte_start, byte_end, status,
     attributes), a row for each span, and one with nulls for a text without any.

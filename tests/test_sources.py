@@ -2,6 +2,7 @@
 
 import json
 import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,83 @@ def test_pairs():
     assert cmp.pair_texts(["x"], []) == [] and cmp.pair_texts(["abc"], ["xyz"]) == []
 
 
+def brute_pairs(left, right, least=0.8):
+    taken, out = set(), []
+    for i, x in enumerate(left):
+        ratios = {j: SequenceMatcher(None, x, y).ratio() for j, y in enumerate(right) if j not in taken}
+        fit = [j for j in ratios if ratios[j] == max(ratios.values())]
+        if fit and ratios[fit[0]] >= least:
+            taken.add(fit[0])
+            out.append((i, fit[0], ratios[fit[0]]))
+    return out
+
+
+def test_pairs_against_brute_force():
+    rng = random.Random(10)
+    for least in (0.8, 0.3):
+        for _ in range(150):
+            left, right = (["".join(rng.choice("ab c") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 8))] for _ in range(2))
+            assert cmp.pair_texts(left, right, least) == brute_pairs(left, right, least)
+
+
+def test_last_record_of_a_source(spark, tmp_path):
+    folder = tmp_path / "records"
+    folder.mkdir()
+    line = lambda source, n: json.dumps({"source": source, "task": "t", "library": "l", "extractions": [], "timing": {"total_ms": n}})
+    (folder / "b.jsonl").write_text("\n".join(line(s, n) for s, n in (("x", 3), ("y", 4), ("x", 5))))
+    (folder / "a.jsonl").write_text("\n".join(line(s, n) for s, n in (("x", 1), ("y", 9), ("z", 2))))
+    records = corpora.load_results(spark, str(folder)).repartition(7)
+    rows = {r.source: r.left.timing.total_ms for r in cmp.pair_records(records, records).collect()}
+    assert rows == {"x": 5, "y": 4, "z": 2}
+    rows = {r.source: r.left.timing.total_ms for r in cmp.pair_records(records.drop("place", "stem"), records).collect()}
+    assert set(rows) == {"x", "y", "z"}
+
+
+def test_report_of_tasks(spark):
+    entry = lambda text, start: {"class": "a", "text": text, "byte_start": start, "byte_end": None, "status": "exact", "attributes": "{}"}
+    record = lambda source, entries, ms, error=None: (source, "t", "l", entries, None if ms is None else (ms,), error)
+    left = spark.createDataFrame([record("1", [entry("fox", 4), entry("cat", None)], 10), record("2", [], 30), record("3", [], 7, "e"), record("4", [], 9)], corpora.RECORD)
+    right = spark.createDataFrame([record("1", [entry("fox", 7), entry("dog", 1)], 21), record("2", [], None), record("4", [], 9, "e")], corpora.RECORD)
+    told = json.loads(cmp.report_json({"ner": (left, right), "empty": (left.limit(0), right.limit(0))}, {"model": "m"}))
+    assert told["metadata"]["model"] == "m" and told["metadata"]["match_threshold"] == 0.8 and "timestamp" in told["metadata"]
+    empty, ner = told["tasks"]
+    assert (empty["task"], empty["documents"], empty["matched"], empty["left_ms"], empty["per_document"]) == ("empty", 0, 0, 0, [])
+    assert {k: ner[k] for k in ("documents", "left_errors", "right_errors", "left_total", "right_total", "matched", "only_left", "only_right", "match_rate", "class_agreement", "offset_mean", "offset_max", "left_ms", "right_ms")} == {"documents": 4, "left_errors": 1, "right_errors": 1, "left_total": 2, "right_total": 2, "matched": 1, "only_left": 1, "only_right": 1, "match_rate": 50.0, "class_agreement": 100.0, "offset_mean": 3.0, "offset_max": 3, "left_ms": 20, "right_ms": 21}
+    assert [(d["source"], d["matched"]) for d in ner["per_document"]] == [("1", 1), ("2", 0)]
+
+
+def test_single_file(spark, tmp_path):
+    docs = spark.createDataFrame([(2, "b"), (1, "a")], "doc_id int, text string")
+    none = spark.createDataFrame([], SPAN)
+    spans.save_json_file(docs, none, str(tmp_path / "one.jsonl"))
+    assert (tmp_path / "one.jsonl").read_text() == '{"text":"a","extractions":[]}\n{"text":"b","extractions":[]}\n'
+    spans.save_json_file(docs.limit(0), none, str(tmp_path / "none.jsonl"))
+    assert (tmp_path / "none.jsonl").read_text() == "" and spans.load_json_lines(spark, str(tmp_path / "none.jsonl")).count() == 0
+    assert [p.name for p in sorted(tmp_path.iterdir()) if not p.name.startswith(".")] == ["none.jsonl", "one.jsonl"]
+    with pytest.raises(FileExistsError):
+        spans.save_json_file(docs, none, str(tmp_path / "one.jsonl"))
+
+
+def test_ordered_folder(spark, tmp_path):
+    for name in ("c", "a", "b.x"):
+        (tmp_path / f"{name}.txt").write_text(name)
+    assert [r.slug for r in corpora.read_text_folder(spark, str(tmp_path), ordered=True).collect()] == ["a", "b.x", "c"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from spanmoor.sources.staging import stage
+
+    class Conf:
+        def get(self, key, default=None):
+            return "spark://host:7077" if key == "spark.master" else default
+
+    class Frame:
+        sparkSession = type("Session", (), {"conf": Conf()})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        stage(Frame())
+
+
 def test_status_map(spark):
     df = spark.createDataFrame([("match_exact",), ("match_lesser",), ("odd",), (None,)], "s string")
     assert [r[0] for r in df.select(cmp.map_status(F.col("s"))).collect()] == ["exact", "fuzzy", "not_found", "not_found"]
