@@ -7,15 +7,16 @@ twice (see plans.run), as a retried task asks again.
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import re
-import urllib.error
-import urllib.request
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+import threading
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any, Protocol
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +31,10 @@ class Provider(Protocol):
 
 @dataclass(frozen=True)
 class Request:
-    url: str
-    headers: dict[str, str]
+    """Its text shows the body alone: url and headers may hold the key."""
+
+    url: str = field(repr=False)
+    headers: dict[str, str] = field(repr=False)
     body: dict[str, Any]
 
 
@@ -62,6 +65,7 @@ class Options:
     json_mode: bool = True
     max_concurrency: int = 3
     timeout: float | None = None
+    headers: Mapping[str, str] = field(repr=False, default_factory=dict)
 
 
 class MissingApiKey(ValueError):
@@ -125,13 +129,37 @@ def map_response(style: str, status: int, body: Any) -> Result:
     return None, "api_error", json.dumps({"status": status, "body": body}, ensure_ascii=False)
 
 
+_OPEN = threading.local()
+
+
+def _connection(scheme: str, place: str, timeout: float | None) -> tuple[http.client.HTTPConnection, bool]:
+    """A thread's connection to a host, and whether it has been used before."""
+    held = _OPEN.__dict__.setdefault("held", {})
+    key = (scheme, place, timeout)
+    if key in held:
+        return held[key], True
+    kind = http.client.HTTPSConnection if scheme == "https" else http.client.HTTPConnection
+    held[key] = kind(place, timeout=timeout) if timeout is not None else kind(place)
+    return held[key], False
+
+
 def post(r: Request, timeout: float | None) -> tuple[int, Any]:
-    call = urllib.request.Request(r.url, json.dumps(r.body).encode(), r.headers, method="POST")
-    try:
-        with urllib.request.urlopen(call, timeout=timeout) as answer:  # noqa: S310
+    """Sends a request over the thread's connection, which stays open for the
+    next; one that the server has closed meanwhile is opened again."""
+    at = urlsplit(r.url)
+    target = at.path + (f"?{at.query}" if at.query else "")
+    while True:
+        call, used = _connection(at.scheme, at.netloc, timeout)
+        try:
+            call.request("POST", target, json.dumps(r.body).encode(), r.headers)
+            answer = call.getresponse()
             status, raw = answer.status, answer.read()
-    except urllib.error.HTTPError as e:
-        status, raw = e.code, e.read()
+            break
+        except BaseException as e:
+            call.close()
+            _OPEN.held.pop((at.scheme, at.netloc, timeout), None)
+            if not (used and isinstance(e, (http.client.RemoteDisconnected, BrokenPipeError, ConnectionResetError))):
+                raise
     try:
         return status, json.loads(raw)
     except ValueError:
@@ -147,7 +175,8 @@ class HttpProvider:
     def infer(self, prompts: Sequence[str]) -> list[Result]:
         def one(prompt: str) -> Result:
             try:
-                return map_response(self.style, *self.transport(request(self.style, prompt, self.options), self.options.timeout))
+                r = request(self.style, prompt, self.options)
+                return map_response(self.style, *self.transport(Request(r.url, r.headers | dict(self.options.headers), r.body), self.options.timeout))
             except Exception as e:  # the transport's own failures
                 return None, "request_error", type(e).__name__
 
@@ -186,7 +215,43 @@ def new_client(provider: str | Provider, api_key: str | None = None, transport:
     return Client(HttpProvider(provider, o, transport or post))
 
 
-def infer(df: DataFrame, client: Client, column: str = "prompt") -> DataFrame:
+def _within(ask: Callable[[], list[Result]], seconds: float | None) -> list[Result]:
+    """What ``ask`` returns; TimeoutError once it has taken too long. It is then
+    left to itself, in a thread that the worker's end does not wait for."""
+    if seconds is None:
+        return ask()
+    told: Future = Future()
+
+    def work() -> None:
+        try:
+            told.set_result(ask())
+        except BaseException as e:
+            told.set_exception(e)
+
+    threading.Thread(target=work, daemon=True).start()
+    return told.result(seconds)
+
+
+def ask(provider: Provider, prompts: list[str], task_timeout: float | None = None) -> list[Result]:
+    """The provider's answers. If it crashes, gives a wrong number of answers or
+    takes longer than ``task_timeout`` seconds a prompt, its prompts are asked
+    again one by one, and only those that fail alone are task errors."""
+
+    def some(part: list[str], seconds: float | None) -> list[Result]:
+        told = _within(lambda: provider.infer(part), seconds)
+        if len(told) != len(part):
+            raise ValueError(f"{len(told)} answers to {len(part)} prompts")
+        return told
+
+    try:
+        return some(prompts, None if task_timeout is None else task_timeout * len(prompts))
+    except Exception as e:
+        if len(prompts) == 1:
+            return [(None, "task_error", "timeout" if isinstance(e, TimeoutError) else f"{type(e).__name__}: {e}")]
+    return [r for p in prompts for r in ask(provider, [p], task_timeout)]
+
+
+def infer(df: DataFrame, client: Client, column: str = "prompt", task_timeout: float | None = None) -> DataFrame:
     """Adds raw, infer_error and infer_detail. Each partition asks for itself,
     as many at once as its provider's max_concurrency."""
     provider, at = client.provider, df.columns.index(column)
@@ -195,10 +260,7 @@ def infer(df: DataFrame, client: Client, column: str = "prompt") -> DataFrame:
         for batch in batches:
             for a in range(0, len(batch), 256):
                 part = batch.slice(a, 256)
-                try:
-                    told = provider.infer(part.column(at).to_pylist())
-                except Exception as e:  # a crash fails its rows, not the job
-                    told = [(None, "task_error", f"{type(e).__name__}: {e}")] * len(part)
+                told = ask(provider, part.column(at).to_pylist(), task_timeout)
                 new = [pa.array([t[i] for t in told], pa.string()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, "raw", "infer_error", "infer_detail"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.model_output import parse
-from ..operators.align import FUZZY_THRESHOLD, align, align_prepared, prepare
+from ..operators.align import FUZZY_THRESHOLD, align, align_many, prepare
 from ..operators.infer import Client, infer
 from ..operators.prompt import Template, prompt
 from ..operators.text import MAX_CHUNK_CHARS, chunks
@@ -27,10 +27,12 @@ def extract(df: DataFrame, source: str = "text", raw: str = "raw", threshold: fl
     rows = prepare(rows, source).withColumns(
         {"error_kind": F.col("_parsed.error"), "error_detail": F.when(F.col("_parsed.error").isNotNull(), F.col(raw)), "dropped": F.col("_parsed.dropped")}
     )
-    rows = rows.select(*keep, "error_kind", "error_detail", "dropped", "_source", F.posexplode_outer("_parsed.entries").alias("ext_idx", "_e"))
-    rows = rows.select(*keep, "error_kind", "error_detail", "dropped", "_source", "ext_idx", F.col("_e.class").alias("class"), F.col("_e.text").alias("ext_text"), F.col("_e.attributes").alias("attributes"))
-    rows = align_prepared(rows, "ext_text", threshold, strategy=strategy)
-    return rows.withColumn("status", F.when(F.col("ext_idx").isNotNull(), F.col("status"))).select(*keep, *SPAN, "error_kind", "error_detail", "dropped")
+    told = ("error_kind", "error_detail", "dropped")
+    rows = rows.select(*keep, *told, "_source", F.col("_parsed.entries").alias("_entries"), F.col("_parsed.entries.text").alias("_texts"))
+    rows = align_many(rows, "_texts", threshold, strategy=strategy)
+    rows = rows.select(*keep, *told, F.posexplode_outer(F.arrays_zip(F.col("_entries").alias("e"), F.col("_found").alias("found"))).alias("ext_idx", "_s"))
+    rows = rows.select(*keep, *told, "ext_idx", F.col("_s.e.class").alias("class"), F.col("_s.e.text").alias("ext_text"), F.col("_s.e.attributes").alias("attributes"), "_s.found.*")
+    return rows.select(*keep, *SPAN, *told)
 
 
 def run(
@@ -42,6 +44,8 @@ def run(
     max_chunk_chars: int | None = MAX_CHUNK_CHARS,
     threshold: float = FUZZY_THRESHOLD,
     persist: Callable[[DataFrame], DataFrame] = stage,
+    on_chunk_error: Callable[[DataFrame], None] | None = None,
+    task_timeout: float | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(spans, errors) of a run over documents (doc_id, source).
 
@@ -51,7 +55,9 @@ def run(
     it has no spans and one row in ``errors`` (doc_id, chunk_idx, error_kind,
     error_detail, raw). ``persist`` writes and rereads model output, which is
     read twice, so that neither that nor a later retry asks the model again; the
-    calls are thus made when ``run`` is called.
+    calls are thus made when ``run`` is called. ``on_chunk_error`` is called with
+    the rows of all chunks, not only each document's first, whose output can't be
+    read (see unreadable). ``task_timeout``: seconds that a chunk may take.
     """
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("text"))
     if max_chunk_chars is None:
@@ -59,8 +65,10 @@ def run(
     else:
         rows = chunks(rows, "text", max_chunk_chars)
     rows = rows.withColumn("prompt", prompt(template, F.col("chunk_text"), F.col("previous_chunk")))
-    told = infer(rows, client).drop("prompt", "previous_chunk")
+    told = infer(rows, client, task_timeout=task_timeout).drop("prompt", "previous_chunk")
     told = persist(told)
+    if on_chunk_error is not None:
+        on_chunk_error(unreadable(told))
     spans = extract(told.where("infer_error is null"), "chunk_text", "raw", threshold, strategy="windows" if max_chunk_chars else "counter")
     broken = spans.where("error_kind is not null").select("doc_id", "chunk_idx", "error_kind", F.col("error_detail").alias("raw"))
     detail = F.when(F.lit(max_chunk_chars is None), F.col("raw"))  # a chunked run keeps the bare kind
@@ -74,9 +82,21 @@ def run(
     return good, errors
 
 
+def unreadable(told: DataFrame) -> DataFrame:
+    """(doc_id, chunk_idx, chunk_text, chunk_byte_start, raw) of the chunks whose
+    model output came, but can't be read."""
+    rows = told.where("infer_error is null").select("doc_id", "chunk_idx", "chunk_text", "chunk_byte_start", "raw")
+    return rows.where(parse(F.col("raw"))["error"] == "invalid_format")
+
+
+def write_unreadable(folder: str) -> Callable[[DataFrame], None]:
+    """An ``on_chunk_error`` that keeps raw output as JSON Lines in a folder."""
+    return lambda rows: rows.write.option("ignoreNullFields", "false").json(folder)
+
+
 def chunk_errors(errors: DataFrame) -> DataFrame:
     """Raw output that could not be read, to be kept for a look."""
     return errors.where("error_kind = 'invalid_format'").select("doc_id", "chunk_idx", "raw")
 
 
-__all__ = ["align", "chunk_errors", "extract", "run"]
+__all__ = ["align", "chunk_errors", "extract", "run", "unreadable", "write_unreadable"]

@@ -2,14 +2,16 @@
 
 import importlib.util
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanmoor.functions import model_output as M
+from spanmoor.functions.model_output import parse_decoded
 from spanmoor.operators import infer as I
 from spanmoor.operators import prompt as P
-from spanmoor.plans.run import chunk_errors, extract, run
+from spanmoor.plans.run import chunk_errors, extract, run, write_unreadable
 
 yaml = pytest.mark.skipif(importlib.util.find_spec("yaml") is None, reason="no YAML reader")
 
@@ -135,6 +137,87 @@ def test_provider_errors_fail_the_document(spark):
     assert spans.count() == 0 and errors.first().error_kind == "task_error"
 
 
+def test_a_crash_fails_its_chunk_alone(spark):
+    def rule(prompt):
+        if "Bad" in prompt:
+            raise RuntimeError("down")
+        return '{"extractions":[]}'
+
+    docs = spark.createDataFrame([(i, "Bad." if i % 7 == 0 else "Good.") for i in range(40)], "doc_id int, prompt string").coalesce(1)
+    rows = I.infer(docs, client(rule)).collect()
+    assert {r.doc_id for r in rows if r.infer_error == "task_error"} == {i for i in range(40) if i % 7 == 0}
+    assert all("down" in r.infer_detail for r in rows if r.infer_error) and len(rows) == 40
+
+
+def test_task_timeout():
+    class Slow:
+        def infer(self, prompts):
+            if "slow" in prompts:
+                time.sleep(30)
+            return [(p, None, None) for p in prompts]
+
+    began = time.time()
+    assert I.ask(Slow(), ["a", "slow", "b"], 0.2) == [("a", None, None), (None, "task_error", "timeout"), ("b", None, None)]
+    assert time.time() - began < 5
+
+    class Short:
+        def infer(self, prompts):
+            return [("x", None, None)]
+
+    assert I.ask(Short(), ["a", "b"]) == [("x", None, None)] * 2
+
+
+def test_every_unreadable_chunk_is_told(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "One. Two. Three."), (2, "Four.")], "doc_id int, text string")
+
+    def rule(prompt):
+        return '{"extractions":[]}' if "Two" in prompt.rsplit("\n\n", 1)[-1] else f"no: {prompt[-5:]}"
+
+    seen = []
+    run(docs, client(rule), P.Template(""), max_chunk_chars=6, on_chunk_error=lambda rows: seen.extend(rows.collect()))
+    assert sorted((r.doc_id, r.chunk_idx, r.chunk_text, r.chunk_byte_start) for r in seen) == [(1, 0, "One.", 0), (1, 2, " Three.", 9), (2, 0, "Four.", 0)]
+    assert all(r.raw.startswith("no: ") for r in seen)
+    run(docs, client(rule), P.Template(""), max_chunk_chars=6, on_chunk_error=write_unreadable(str(tmp_path / "raw")))
+    assert spark.read.json(str(tmp_path / "raw")).count() == 3
+
+
+def test_missing_extractions(spark):
+    df = spark.createDataFrame([('{"extractions":[{"class":"a","text":"b"},{"class":"","text":"b"}]}',), ('{"other":1}',), ('{"extractions":"x"}',), (None,)], "j string")
+    rows = [r.p for r in df.coalesce(1).select(parse_decoded(F.col("j")).alias("p")).collect()]
+    assert [(r.error, r.dropped, len(r.entries)) for r in rows] == [(None, 1, 1), *[("missing_extractions", 0, 0)] * 3]
+
+
+def test_connections_stay_open():
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["content-length"]))
+            seen.append((self.client_address, self.path, dict(self.headers), json.loads(body)))
+            answer = json.dumps({"choices": [{"message": {"content": "hi"}}]}).encode()
+            self.send_response(200)
+            self.send_header("content-length", str(len(answer)))
+            self.end_headers()
+            self.wfile.write(answer)
+            self.close_connection = len(seen) == 3
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    o = I.Options(api_key="k", model="m", base_url=f"http://127.0.0.1:{server.server_port}", max_concurrency=1, headers={"x-more": "1"})
+    told = I.HttpProvider("openai", o).infer(["a"] * 5)
+    server.shutdown()
+    assert told == [("hi", None, None)] * 5 and len({s[0] for s in seen}) == 2 and all(s[2]["x-more"] == "1" for s in seen)
+    assert "k" not in repr(I.request("gemini", "", o)).replace("maxOutputTokens", "") and "x-more" not in repr(o)
+
+
 def test_prompt(spark):
     template = P.Template("Find all.", [P.Example("Ann has diabetes.", [P.Extraction("condition", "diabetes")])])
     df = spark.createDataFrame([("now", None), ("now", "end of the block of text."), ("", "x👩‍👩‍👧é")], "c string, p string")
