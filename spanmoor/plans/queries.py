@@ -398,7 +398,7 @@ def boilerplate_strip(spark, sf_dir):
 
 
 def truncate_500(spark, sf_dir):
-    """Rows only in SQL; held against brute force in the tests."""
+    """Also held against brute force in the tests."""
     return _docs(spark, sf_dir).select("doc_id", truncate_at_sentence(F.col("text"), 500).alias("text"))
 
 
@@ -409,6 +409,9 @@ j AS (SELECT source, text, le.class = ri.class AS c, le.status = ri.status AS s,
 _TRIMMED = r"regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')"
 
 ORACLE_SQL: dict[str, str] = {
+    "truncate_500": """WITH c AS (SELECT doc_id, text, left(text, list_max(list_filter(range(least(length(text), 500) + 1), lambda k: strlen(left(text, k)) <= 500))) AS cut FROM documents),
+p AS (SELECT *, regexp_extract(cut, '(?s)^(.*[.!?])(?:[ \n\r"'']|$)', 1) AS sentence, regexp_extract(cut, '(?s)^(.*) ', 1) AS word FROM c)
+SELECT doc_id, CASE WHEN strlen(text) <= 500 THEN text WHEN sentence <> '' THEN sentence WHEN word <> '' THEN word ELSE cut END AS text FROM p""",
     "tokens_per_doc": f"WITH {_tok()} SELECT doc_id, CAST(len(toks) AS BIGINT) AS n_tokens FROM t",
     "token_type_counts": f"WITH {_tok()} SELECT type, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_bytes FROM u GROUP BY type",
     "token_offsets": f"WITH {_tok()} SELECT doc_id, i AS token_idx, tok AS token, type, e - n AS byte_start, e AS byte_end FROM u",
