@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, WORD, materialize
 
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW, SUBSTITUTIONS = 13, 2
@@ -31,18 +31,25 @@ _SPAN = 9
 
 
 def token_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), SPACE), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    """Hashes of the lower-cased words; none for null and blank texts."""
+    words = F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\f\r")), SPACE)
+    return F.when(F.rlike(text, F.lit(WORD)), F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _count(h: str, mask: tuple[int, ...]) -> Column:
-    return F.greatest(F.size(h) - F.lit(mask[-1]), F.lit(0))
+def seeds_of(rows: DataFrame, masks: list[tuple[int, ...]], fits: list[Column] | None = None) -> DataFrame:
+    """A row for each mask and position where it lies within the token hashes
+    ``_h``, and ``fits`` holds: also _at, _mask (its number) and seed. Positions
+    come first and hashes then, as plain expressions: they are compiled, which
+    functions over arrays are not, and ``_h`` is copied for no row."""
+    # From an inner explode Spark would infer a filter and hash the words twice.
+    rows = rows.select("*", F.posexplode_outer("_h").alias("_at", "_token")).drop("_token")
+    last = F.size("_h") - F.col("_at") - 1
 
+    def seed(m: int, mask: tuple[int, ...]) -> Column:
+        fine = last >= mask[-1]
+        return F.when(fine if fits is None else fine & fits[m], F.xxhash64(F.lit(m), *[F.get("_h", F.col("_at") + o) for o in mask]))
 
-def _hashed(h: str, number: int, mask: tuple[int, ...]) -> Column:
-    """Seed hashes at every position of the token hashes in column ``h``."""
-    at = lambda i: F.xxhash64(F.lit(number), *[F.get(F.col(h), i + F.lit(o)) for o in mask])
-    return F.when(_count(h, mask) > 0, F.transform(F.sequence(F.lit(0), _count(h, mask) - 1), at)).otherwise(F.array().cast("array<bigint>"))
+    return rows.select("*", F.posexplode(F.array(*[seed(m, mask) for m, mask in enumerate(masks)])).alias("_mask", "seed")).where("seed is not null")
 
 
 def _around(h: str, i: Column) -> Column:
@@ -61,7 +68,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: Column, text: Column, short: b
     Words are lower-cased and split at ASCII white space. Null or empty texts
     and items match nothing; repeated rows give a pair once; keys may be null.
     Documents are read in one pass for each MOST_SEEDS seeds of the items, of
-    which a pass broadcasts no more; only hits leave it.
+    which a pass broadcasts no more; only hits leave it. Texts of any length are
+    read whole; other columns of ``docs``, whatever their names, are not read.
     """
     tests = items.select("item_id", token_hashes(F.col("text")).alias("_h")).where(F.size("_h") >= (1 if short else LEAST_WORDS))
     tests = materialize(tests.groupBy("item_id", "_h").agg(F.size("_h").alias("_n")))
@@ -70,20 +78,15 @@ def leaks(docs: DataFrame, items: DataFrame, key: Column, text: Column, short: b
     masks = [(mask, F.lit(True)) for mask in MASKS] + [(tuple(range(n)), F.col("_n") == n) for n in lengths if n < _SPAN]
     if short and lengths and lengths[-1] >= _SPAN:
         masks.append((SHORT_MASK, F.col("_n").between(_SPAN, WINDOW - 1)))
-    fits = [fit for _, fit in masks]
-    masks = list(enumerate(mask for mask, _ in masks))
-    seeds = [tests.where(fits[m]).select("item_id", "_n", "_h", F.lit(m).alias("_mask"), F.posexplode(_hashed("_h", m, mask)).alias("_at", "seed")) for m, mask in masks]
-    seeds = reduce(DataFrame.unionAll, seeds).select("item_id", "_n", "_mask", "seed", _around("_h", F.col("_at")).alias("_theirs"))
+    fits, masks = [fit for _, fit in masks], [mask for mask, _ in masks]
+    seeds = seeds_of(tests, masks, fits).select("item_id", "_n", "_mask", "seed", _around("_h", F.col("_at")).alias("_theirs"))
     seeds = materialize(seeds)
     keys = materialize(seeds.select("seed", "_mask").distinct())
     passes = max(1, math.ceil(keys.count() / MOST_SEEDS))
-    rows = docs.select(key.alias("doc_key"), token_hashes(text).alias("_h"))
-    # From a plain explode, Spark would infer a filter and hash everything twice.
-    rows = rows.select("doc_key", "_h", F.posexplode_outer(F.concat(*[_hashed("_h", m, mask) for m, mask in masks])).alias("_at", "seed"))
-    at = F.col("_at") - reduce(lambda x, y: x + y, [F.when(F.col("_mask") > m, _count("_h", mask)).otherwise(F.lit(0)) for m, mask in masks])
-    part = lambda b: keys if passes == 1 else keys.where(F.pmod("seed", F.lit(passes)) == b)
+    rows = seeds_of(docs.select(key.alias("doc_key"), token_hashes(text).alias("_h")), masks)
+    part = lambda b: (keys if passes == 1 else keys.where(F.pmod("seed", F.lit(passes)) == b)).select("seed").distinct()
     rows = reduce(DataFrame.unionAll, [rows.join(F.broadcast(part(b)), "seed") for b in range(passes)])
-    rows = rows.select("doc_key", "seed", "_mask", "_h", at.alias("_at")).select("doc_key", "seed", "_mask", _around("_h", F.col("_at")).alias("_near"))
+    rows = rows.select("doc_key", "seed", "_mask", _around("_h", F.col("_at")).alias("_near"))
     pairs = rows.join(seeds, ["seed", "_mask"])
     equal = F.transform(F.arrays_zip("_near", "_theirs"), lambda z: F.coalesce((z["_near"] == z["_theirs"]).cast("int"), F.lit(0)))
     pairs = pairs.select("doc_key", "item_id", F.least("_n", F.lit(WINDOW)).alias("_need"), equal.alias("_equal")).distinct()
