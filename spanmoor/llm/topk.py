@@ -1,10 +1,10 @@
 """Exact top-k search by Fagin's threshold algorithm.
 
-Vectors are dealt into shards and queries into blocks; a task holds one of
-each. It sorts the shard once along every dimension. A query walks down the
-lists from the end that its component favours, scores what it meets, and stops
-when the sum of the lists' current values cannot reach its kth best score. The
-best of all shards are then merged.
+Vectors are dealt into shards. A task sorts a shard once along every dimension
+and lets the queries stream past it. A query walks down the lists from the end
+that its component favours, scores what it meets, and stops when the sum of the
+lists' current values cannot reach its kth best score. The best of all shards
+are then merged.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Vectors to a shard, and queries to an Arrow batch at most.
 SHARD, BLOCK = 16_384, 1024
 
 
@@ -75,14 +76,37 @@ class SortedLists:
         return self.ids[found], scores
 
 
-def _search(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    out = []
-    if len(queries) and len(rows):
-        shard = SortedLists(rows["vec_id"].to_numpy(np.int64), np.stack(rows["_vector"].to_numpy()).astype(np.int64))
-        for query_id, vector in zip(queries["vec_id"], queries["_vector"]):
-            ids, scores = shard.search(int(query_id), np.asarray(vector, np.int64), k)
-            out.append(pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores.astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+def _stretches(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows whose keys agree."""
+    n = len(keys[0])
+    edges = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if n else np.zeros(0, int)
+    return list(zip([0, *edges.tolist()], [*edges.tolist(), n])) if n else []
+
+
+def _searched(batches, k: int, block: int):
+    """Rows (_shard, _length, _asks, vec_id, _vector), sorted by the first three,
+    so that a shard's queries follow its vectors -> (query_id, vec_id, score).
+    Held are one shard and one batch."""
+    key, ids, vectors, lists = None, [], [], None
+    for batch in batches:
+        shard, length, asks, vec_id = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        for a, b in _stretches(shard, length, asks):
+            values = batch.column(4).slice(a, b - a).flatten().to_numpy().reshape(b - a, -1)
+            if key != (shard[a], length[a]):
+                key, ids, vectors, lists = (shard[a], length[a]), [], [], None
+            if not asks[a]:
+                ids.append(vec_id[a:b])
+                vectors.append(values)
+                continue
+            if lists is None:
+                n = sum(map(len, ids))
+                lists = SortedLists(np.concatenate(ids) if n else np.zeros(0, np.int64), np.concatenate(vectors) if n else np.zeros((0, values.shape[1]), np.int64))
+                ids, vectors = [], []
+            for c in range(a, b, block):
+                found = [lists.search(int(q), v, k) for q, v in zip(vec_id[c : min(b, c + block)], values[c - a :])]
+                query = np.repeat(vec_id[c : c + len(found)], [len(i) for i, _ in found])
+                score = np.concatenate([s.astype(np.int64) for _, s in found])
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.concatenate([i for i, _ in found])), pa.array(score)], names=["query_id", "vec_id", "score"])
 
 
 def integer_vectors(df: DataFrame) -> DataFrame:
@@ -101,22 +125,18 @@ def top_k(df: DataFrame, every: int = 100, k: int = 10, shard: int = SHARD, bloc
     rows with another vec_id, ties to the smaller vec_id (fewer if there are
     fewer). Only vectors of the same length are compared. Rows that repeat a
     vec_id are candidates each; a query that repeats one is answered once, by
-    its greatest vector."""
+    its greatest vector. Other columns of ``df``, whatever their names, are not
+    read."""
     rows = integer_vectors(df)
     asked = F.col("vec_id") % every == 0
-    n, m = rows.agg(F.count("*"), F.count_if(asked)).first()
-    shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(m / block))
-    numbers = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
-    part = lambda most, salt: F.pmod(F.xxhash64("vec_id", "_vector", F.lit(salt)), F.lit(most)).cast("int")
-    queries = rows.where(asked).groupBy("vec_id").agg(F.max("_vector").alias("_vector")).withColumn("_length", F.size("_vector"))
-    queries = queries.withColumn("_block", part(blocks, 1)).withColumn("_shard", numbers(shards))
-    rows = rows.withColumn("_shard", part(shards, 2)).withColumn("_block", numbers(blocks))
-    by = ("_shard", "_block", "_length")
-
-    def search(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        return _search(key, queries, rows, k)
-
-    found = queries.groupBy(*by).cogroup(rows.groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score long")
+    shards = max(1, math.ceil(rows.count() / shard))
+    queries = rows.where(asked).groupBy("vec_id").agg(F.max("_vector").alias("_vector")).withColumns({"_length": F.size("_vector"), "_asks": F.lit(True)})
+    queries = queries.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    rows = rows.withColumns({"_asks": F.lit(False), "_shard": F.pmod(F.xxhash64("vec_id", "_vector"), F.lit(shards)).cast("int")})
+    # Each vector goes to one shard, each query once to every shard.
+    columns = ("_shard", "_length", "_asks", "vec_id", "_vector")
+    dealt = rows.select(*columns).unionAll(queries.select(*columns)).repartition(shards, "_shard").sortWithinPartitions("_shard", "_length", "_asks")
+    found = dealt.mapInArrow(lambda batches: _searched(batches, k, block), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
