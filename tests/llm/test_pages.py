@@ -165,12 +165,93 @@ def test_main_text():
         ("<article><p title='a > b'>q</p></article>", "q"),
         ("<main><p>In main.</p></main><div class='sidebar'>no</div>", "In main."),
         ("<article><p>a&#233;&#x41;</p></article>", "aéA"),
+        ("<article class='search-story'><p>Found at last.</p></article>", "Found at last."),
+        ("<article><p>One.</p><div class='legal-text'><p>The law of the land is told here at some length.</p></div></article>", "One. The law of the land is told here at some length."),
+        ("<article><p>One.</p><div class='search'><p>Search</p><a href='x'>Go</a></div></article>", "One."),
+        ("<article><p data-x=it's>q</p><p title='>'>r</p></article>", "q r"),
+        ("<article><p data-x=\"it's\" y='\">'>q</p></article>", "q"),
+        ("<article><header class='entry-header'><h1>Title</h1></header><p>q</p><div class=comment-body><p>I think that this is a very good article.</p></div></article>", "Title q"),
+        ("<article data-class='menu'><p>q</p><!-- > --><!x><?y?></ z></article>", "q"),
+        ("<article><p>a <! b> c</p></article>", "a c"),
+        ("<div class='comments'><article class='comment'><p>Some reader says so.</p></article></div>", ""),
+        ("<main><article class=post><p>Some text.</p></article><article class='related-post'><p>Other text.</p></article></main>", "Some text."),
     ],
 )
 def test_small_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_blocks_against_a_parser():
+    """Blocks of made pages are those that a plain HTML parser finds."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.text, self.quiet = [], "", 0
+
+        def cut(self):
+            if words := " ".join(self.text.split()):
+                self.out.append(words)
+            self.text = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in (*html.INLINE, "script"):
+                self.cut()
+            self.quiet += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            if tag not in (*html.INLINE, "script"):
+                self.cut()
+            self.quiet -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.quiet:
+                self.text += data
+
+    rng = random.Random(5)
+    attributes = ["", " class='a b'", ' title="x > y"', " data-x=it's", " hidden", ' id="n1" alt=\'"\'', " href=/a/b?c=d&amp;e=f"]
+    texts = ["plain words", "a &amp; b", "1 < 2", "&eacute;&#65;", "  spread \n out ", "5 > 4", "it's"]
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.25:
+            return rng.choice(texts)
+        kind = rng.choice(["p", "div", "b", "a", "li", "h2", "span", "section", "!--", "br", "script", "em"])
+        if kind == "!--":
+            return "<!-- no <p>words</p> -->"
+        if kind == "br":
+            return "<br/>"
+        inside = "var x = '<p>';" if kind == "script" else " ".join(made(depth - 1) for _ in range(rng.randint(0, 3)))
+        return f"<{kind}{rng.choice(attributes)}>{inside}</{kind}>"
+
+    for _ in range(400):
+        page = f"<body>{' '.join(made(4) for _ in range(4))}</body>"
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        reader.cut()
+        got = [b[0] for b in html.blocks(page)]
+        assert " ".join(got) == " ".join(reader.out) and got == reader.out, page
+
+
+def test_tree_decides():
+    """The tree knows its table, and words and links count under any name."""
+    assert all(html.judge(html.tree(), r[:-1]) == bool(r[-1]) for r in html.TABLE)
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, int):
+            used.add(node[0])
+            walk(node[2])
+            walk(node[3])
+
+    walk(html.tree())
+    assert {0, 1, 6, 7, 8} <= used
+    prose = "Words of the article that go on for a while and have no links in them. " * 3
+    links = "".join(f"<a href='{i}'>Other page {i}</a> " for i in range(9))
+    assert html.main_text(f"<body><div class='tags'><p>{links}</p></div><div><p>{prose}</p><p>{prose}</p></div></body>").split() == (prose * 2).split()
+
+
 def test_page_without_article():
     body = "<p>" + "words that make a paragraph of some length, as articles have, with a point. " * 3 + "</p>"
     found = html.main_text(f"<body><div><a href='x'>Menu one</a> <a href='y'>two</a></div><div>{body}{body}</div></body>")
@@ -179,6 +260,8 @@ def test_page_without_article():
 
 def test_long_page():
     assert len(html.main_text("<article>" + "<p>word <b>" * 50_000)) == 5 * 50_000 - 1
+    for odd in ("<a b='", "<", "<a =", "<!--", "</", '<a b="c" d=', "<p class='x"):  # nothing is searched again and again
+        assert html.main_text(odd * 50_000) is not None
 
 
 def test_extract(spark):
