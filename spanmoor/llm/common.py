@@ -36,10 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts
-    the lineage, survives lost executors, and gives later joins a true size."""
+    the lineage, survives lost executors, and gives later joins a true size. The
+    files go when the driver ends, as results read them until then."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanmoor-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if hasattr(spark, "_jvm"):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -133,7 +133,10 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
 
     The law is ``bytes``: shards hold nearly equal sizes. Null texts form one
     group, apart from empty ones, and have no checksum. Where a group exceeds a
-    fair share, it has its shard to itself and the rest are level.
+    fair share, it has its shard to itself and the rest are level. Repeated rows
+    each have a slot of their own; rows that agree in id and text are told apart
+    by nothing else, so which of them has which slot is open. Other columns of
+    ``docs``, whatever their names, are not read.
     """
     text = F.col("text")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")

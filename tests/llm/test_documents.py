@@ -117,7 +117,7 @@ def test_draw(spark):
 # --- near duplicates ---------------------------------------------------------
 
 
-def brute_groups(rows):
+def brute_groups(rows, percent=85):
     sets = []
     for r in rows:
         w = words(r[1])
@@ -133,7 +133,7 @@ def brute_groups(rows):
         for j in range(i):
             if sets[i] and sets[j]:
                 both = len(sets[i] & sets[j])
-                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     parent[find(i)] = find(j)
     least = {}
     for i, r in enumerate(rows):
@@ -437,6 +437,25 @@ def test_toxicity(spark):
     assert not learned & {rows[r.doc_id][1] for r in held}
 
 
+def test_toxicity_of_long_and_repeated_rows(spark):
+    """A long text trains like any other, and its one foul word is found."""
+    rows, labels = toxic_rows(300)
+    foul, calm = [i for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 3 != 1][:2]  # both train
+    long_ = "morning below tanona " * 30_000
+    rows += [(foul, long_ + "blockhead scoundrel", "en", "s", 0), (calm, long_, "en", "s", 0), *rows[:5], (foul, long_, "en", "s", 0)]
+    told = spark.createDataFrame([*labels, (foul, 1, 1), (foul, 1, 1), (calm, 1, 0), (None, 1, 1), (3003, 1, None)], "doc_id long, quality int, toxic int")
+    df = docs_of(spark, rows)
+    texts, marks = toxicity.training_rows(df, told)
+    assert sum(len(t) > 500_000 for t in texts) == 2 and len(texts) == len(marks)
+    found = toxicity.score_documents(df, told).collect()
+    assert len(found) == len(rows)
+    by = defaultdict(set)
+    for r in found:
+        by[r.doc_id].add((r.score, r.predicted))
+    assert all(len(by[r[0]]) == 1 for r in rows[:5])
+    assert {p for _, p in by[calm]} == {0} and {p for _, p in by[foul]} == {0, 1}
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.score_documents(docs_of(spark, []), none).count() == 0
@@ -493,6 +512,23 @@ def test_leaks(spark, monkeypatch, most):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {d for d, _ in brute_leaks(rows, items)}
 
 
+def test_leaks_in_long_and_repeated_rows(spark):
+    """A long text costs what its words cost, and each of its places counts."""
+    import time
+
+    rng = random.Random(43)
+    item = [f"q{i}" for i in range(16)]
+    filler = [f"f{rng.randint(0, 3000)}" for _ in range(120_000)]
+    rows = [(1, " ".join([*filler, *item]), "en", "s", 0), (2, " ".join([*item[:13], *filler]), "en", "s", 0), (3, " ".join(filler), "en", "s", 0)]
+    rows += [(4, " ".join(["x", *item, "y"]), "en", "s", 0)] * 50 + [(None, " ".join(item), "en", "s", 0)] * 3
+    items = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, "not here at all in any text")], "item_id long, text string")
+    began = time.time()
+    found = decontaminate.leaked_documents(docs_of(spark, rows), items).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.matched) for r in found) == [("1", 1, 13), ("2", 1, 13), ("4", 1, 13), ("None", 1, 13)]
+    assert time.time() - began < 60
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs_of(spark, rows), items).collect()] == [3]
+
+
 def test_leaks_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "words that nobody here has ever said")], "item_id long, text string")

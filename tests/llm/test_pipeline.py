@@ -6,7 +6,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from collections import Counter  # noqa: E402
 
-from test_documents import brute_groups, brute_leaks, check_shards, docs_of, near_copies, quality_rows  # noqa: E402
+from test_documents import AWKWARD, brute_groups, brute_leaks, check_shards, docs_of, near_copies, quality_rows  # noqa: E402
 
 
 def test_stages(spark, tmp_path):
@@ -32,7 +32,7 @@ def test_stages(spark, tmp_path):
     assert not {r[0] for r in rows if r[0] % 4 == 0} & kept
     assert len({r[0] for r in [*good, *copies, *leaks]} - kept) <= 4
     before, after = seen["near_duplicates"]
-    assert sorted(r.doc_id for r in after) == sorted({c for d, n, c in brute_groups(before)})
+    assert sorted(r.doc_id for r in after) == sorted({c for d, n, c in brute_groups(before, 80)})
     before, after = seen["decontaminate"]
     bad = {d for d, _ in brute_leaks(before, [(1, item)])}
     assert bad and {r.doc_id for r in after} == {r[0] for r in before} - bad
@@ -43,3 +43,23 @@ def test_stages(spark, tmp_path):
     check_shards(*seen["shard"])
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.shard) for r in again) == Counter((r.doc_id, r.shard) for r in seen["shard"][1])
+
+
+def test_stages_on_awkward_rows(spark, tmp_path):
+    """Null ids, repeated rows, blank texts, columns named like inner ones, and
+    empty tables."""
+    from pyspark.sql import functions as F
+
+    extra = ("size", "key", "target", "taken", "cls", "kept", "shard", "slot", "_row", "_id", "_leaked", "__words", "draw", "log_weight", "class", "check", "_of")
+    rows = docs_of(spark, [*AWKWARD, *AWKWARD[-3:]]).select("*", *[F.lit("x").alias(c) for c in extra])
+    for name, frame in (("some", rows), ("none", rows.where("false"))):
+        folder = tmp_path / name
+        frame.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([(4, 1, 0), (5, 0, 0), (None, 1, 0), (8, 1, None)] if name == "some" else [], "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([(1, None), (2, "not in any of them at all")] if name == "some" else [], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        for stage, step in corpus_pipeline.STAGES:
+            out = step(spark, frame, str(folder))
+            count = out.count()
+            assert (count > 0) == (name == "some"), stage
+            assert stage == "shard" or out.columns == frame.columns, stage
+        assert (corpus_pipeline.run(spark, str(folder)).count() > 0) == (name == "some")
