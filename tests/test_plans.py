@@ -1,7 +1,11 @@
 """What the plans must look like, whatever the size of the input."""
 
+import re
+from pathlib import Path
+
 import pytest
 
+import spanmoor
 from spanmoor.operators.align import align
 from spanmoor.operators.text import chunks, sentences, tokens
 from spanmoor.plans.run import extract
@@ -40,6 +44,20 @@ def test_windows_run_on_the_jvm(docs):
     assert "fuzzy_by_counter" not in told
 
 
+def test_a_source_comes_once_for_all_its_strings(docs):
+    told = plan(extract(docs.select("doc_id", "text", "raw")))
+    assert told.count("ArrowEvalPython [fuzzy_many") <= 1 and "fuzzy_by_counter" not in told
+    below = told[told.index("Generate posexplode") :].splitlines()[0]
+    assert "_source" not in below.split("[", 1)[-1]
+
+
 def test_search_runs_once_a_row(docs):
     told = plan(align(docs.select("doc_id", "text", "ext_text")).where("status = 'exact'"))
     assert told.count("ArrowEvalPython [fuzzy_by_counter") <= 1
+
+
+def test_nothing_else_imports_the_optional_part():
+    root = Path(spanmoor.__file__).parent
+    for path in root.rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert not re.search(r"^\s*(?:from|import)\s.*\bllm\b", path.read_text(), re.M), path
